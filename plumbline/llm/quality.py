@@ -125,7 +125,7 @@ class LabelModel:
 
 
 #: Labellers are built to be precise: none is taken to call more than this share of good texts bad.
-FALSE_ALARMS = 0.005
+FALSE_ALARMS = 0.002
 
 
 def estimate(pattern: np.ndarray, count: np.ndarray, rounds: int = 100) -> LabelModel:
