@@ -19,52 +19,57 @@ class Cached:
     the text goes to `whole` as it is. `encode` gets distinct new stretches, each a word with its leading space if it has one.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[T]], whole: Callable[[str], list[T]], line_feed: T):
-        self.encode, self.whole, self.line_feed = encode, whole, line_feed
+    def __init__(self, encode: Callable[[list[str]], list[T]], whole: Callable[[str], list[T]], line_feed: T, entries: int = ENTRIES):
+        self.encode, self.whole, self.line_feed, self.entries = encode, whole, line_feed, entries
         self.head: dict[str, T] = {}
         self.rest: dict[str, T] = {}
         self.seen = self.missed = 0
 
     def texts(self, texts: list[str | None]) -> list[list[T]]:
         """The encoded stretches of each text; a null text has none."""
-        split = [[line.split(" ") for line in t.split("\n")] if t else [] for t in texts]
         head, rest = self.head, self.rest
         new_head: dict[str, T] = {}
         new_rest: dict[str, T] = {}
-        for lines in split:
-            for words in lines:
-                if words[0] not in head:
-                    new_head[words[0]] = None
-                for w in words[1:]:
-                    if w not in rest:
-                        new_rest[w] = None
-                self.seen += len(words)
+        found = []
+        for t in texts:
+            lines = []
+            for line in t.split("\n") if t else ():
+                first, *words = line.split(" ")
+                got = list(map(rest.get, words))
+                if None in got:
+                    new_rest |= dict.fromkeys([w for w, g in zip(words, got) if g is None])
+                else:
+                    words = None
+                self.seen += len(got) + 1
+                if first not in head:
+                    new_head[first] = None
+                lines.append((first, words, got))
+            found.append(lines)
         self.missed += len(new_head) + len(new_rest)
         plain = [k for k in new_head if k.split() == [k]], [k for k in new_rest if k.split() == [k]]
         got = self.encode([*plain[0], *(" " + k for k in plain[1])])
         new_head, new_rest = dict(zip(plain[0], got)), dict(zip(plain[1], got[len(plain[0]) :]))
-        for cache, new in ((head, new_head), (rest, new_rest)):
-            if len(cache) < ENTRIES:
-                cache.update(new)
         out = []
-        for text, lines in zip(texts, split):
-            done: list[T] | None = []
+        for text, lines in zip(texts, found):
+            done: list[T] = []
             try:
-                for k, words in enumerate(lines):
+                for k, (first, words, got) in enumerate(lines):
                     if k:
                         done.append(self.line_feed)
-                    if words[0]:
-                        first = words[0]
+                    if first:
                         done.append(head[first] if first in head else new_head[first])
-                    elif len(words) < 2:
+                    elif not got:
                         raise KeyError
-                    for w in words[1:]:
-                        done.append(rest[w] if w in rest else new_rest[w])
+                    # words are kept only where some of them were new
+                    done += got if words is None else [new_rest[w] if g is None else g for w, g in zip(words, got)]
             except KeyError:
                 done = self.whole(text)
             out.append(done)
+        for cache, new in ((head, new_head), (rest, new_rest)):
+            if len(cache) < self.entries:
+                cache.update(new)
         if self.seen > 2_000_000:
-            if len(rest) >= ENTRIES and self.missed > 0.3 * self.seen:
+            if len(rest) >= self.entries and self.missed > 0.3 * self.seen:
                 head.clear()
                 rest.clear()
             self.seen = self.missed = 0

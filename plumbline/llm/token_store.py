@@ -65,7 +65,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.cache = Cached(self._words, self._whole, np.array([self.feed], self.type).tobytes())
+        self.cache = Cached(self._words, self._whole, np.array([self.feed], self.type).tobytes(), entries=600_000)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
