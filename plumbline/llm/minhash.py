@@ -20,8 +20,8 @@ T = BANDS * ROWS
 _SEED = seeds(2 * T, 0xF55)
 _STEP = seeds(SHINGLE, 0x5417)
 _LOW = np.uint64(32)
-#: Buckets of at most this many classes compare what is left across components at once; larger ones take HUBS hubs a round.
-SMALL_BUCKET, HUBS = 24, 16
+#: Members of a bucket that are compared with the others in one round.
+HUBS = 16
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -159,34 +159,31 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
     member = materialise(banded.join(hubs, "key").select("key", "rep", "hub", "m"), "buckets")
     links = _verified(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), docs, percent)
-    # Buckets of two are settled; in the others pairs across components remain.
-    member = member.where("m > 2")
-    done = 1
+    # A hub has met all of its bucket and leaves it; a bucket is settled once what is left of it lies in one component.
+    member = member.where("m > 2 and rep <> hub").select("key", "rep")
     while True:
         label = components(links)
-        left = member.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", "m", F.coalesce("component", "rep").alias("c"))
+        left = member.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
         split = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
         left = materialise(left.join(split, "key"), "open")
         if left.isEmpty():
             return links
-        # rank 0 has met all; the hubs of this round are ranks done .. done + HUBS - 1 of each bucket
-        ranked = left.withColumn("rank", F.row_number().over(_by_key()) - 1)
-        last = F.when(F.col("m") <= SMALL_BUCKET, F.lit(SMALL_BUCKET)).otherwise(F.lit(done + HUBS))
-        hub = ranked.where((F.col("rank") >= done) & (F.col("rank") < last))
+        # The next hubs come from the smallest components, so a few outsiders of a large group take one round.
+        sizes = left.groupBy("key", "c").agg(F.count("*").alias("size"))
+        ranked = materialise(left.join(sizes, ["key", "c"]).withColumn("rank", F.row_number().over(_by_key())), "ranked")
+        hub = ranked.where(F.col("rank") <= HUBS)
         pairs = hub.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("ra")).join(
             ranked.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("rank").alias("rb")), "key"
-        ).where("ra < rb and ca <> cb").select("a", "b").distinct()
-        more = _verified(pairs, docs, percent)
-        links = materialise(links.unionByName(more), "links")
-        done += HUBS
-        member = materialise(left.where((F.col("m") > SMALL_BUCKET) & (F.col("m") > done)).select("key", "rep", "m"), "buckets")
+        ).where("ra < rb and ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = materialise(links.unionByName(_verified(pairs, docs, percent)), "links")
+        member = ranked.where(F.col("rank") > HUBS).select("key", "rep")
         discard(left)
 
 
 def _by_key():
     from pyspark.sql import Window
 
-    return Window.partitionBy("key").orderBy("rep")
+    return Window.partitionBy("key").orderBy("size", "c", "rep")
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
