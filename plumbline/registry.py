@@ -324,24 +324,29 @@ def topk_heap(spark, d):
 
 # Shared scans
 
-_SHARED = {"q1": F.col("l_linenumber") == 7, "q2": F.col("l_quantity") == 32, "q3": F.col("l_quantity") == 1, "q4": F.col("l_linenumber") == 99}
 _SHARED_SQL = {"q1": "l_linenumber = 7", "q2": "l_quantity = 32", "q3": "l_quantity = 1", "q4": "l_linenumber = 99"}
+
+
+def _shared():
+    return {n: F.expr(p) for n, p in _SHARED_SQL.items()}
+
+
 _KEYS = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity"]
 
 
 @query(" union all ".join(f"select '{n}' as query, {', '.join(_KEYS)} from lineitem where {p}" for n, p in _SHARED_SQL.items()))
 def shared_scan_lists(spark, d):
-    return sharedscan.lists(table(spark, d, "lineitem").select(*_KEYS), _SHARED)
+    return sharedscan.lists(table(spark, d, "lineitem").select(*_KEYS), _shared())
 
 
 @query(f"select {', '.join(_KEYS)}, tags from (select *, concat_ws(',', {', '.join(f'case when {p} then {chr(39)}{n}{chr(39)} end' for n, p in _SHARED_SQL.items())}) as tags from lineitem) where tags <> ''")
 def shared_scan_tagged(spark, d):
-    return sharedscan.tagged(table(spark, d, "lineitem").select(*_KEYS), _SHARED).withColumn("tags", F.array_join("tags", ","))
+    return sharedscan.tagged(table(spark, d, "lineitem").select(*_KEYS), _shared()).withColumn("tags", F.array_join("tags", ","))
 
 
 @query(" union all ".join(f"select '{n}' as query, count(*) as n from lineitem where {p}" for n, p in _SHARED_SQL.items()))
 def shared_scan_counts(spark, d):
-    return sharedscan.counts(spark, table(spark, d, "lineitem"), _SHARED)
+    return sharedscan.counts(spark, table(spark, d, "lineitem"), _shared())
 
 
 @query(" union all ".join(f"select '{n}' as query, {', '.join(_KEYS)} from lineitem where {p}" for n, p in _SHARED_SQL.items()))
