@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ T = BANDS * ROWS
 _SEED = seeds(2 * T, 0xF55)
 _STEP = seeds(SHINGLE, 0x5417)
 _LOW = np.uint64(32)
-#: Members of a bucket that are compared with the others in one round.
+#: A bucket of m uncompared members has at most about 2 * HUBS * m pairs in its first round, and twice as many in each further one.
 HUBS = 16
+#: Bits of each coordinate that are kept for an estimate of a pair's similarity, packed into words of 64.
+PLANES, WORDS = 4, (T + 63) // 64
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -75,27 +78,42 @@ def sketch(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(u: np.ndarray) -> np.ndarray:
-    s = sketch(u).reshape(BANDS, ROWS)
+def bands(sketched: np.ndarray) -> np.ndarray:
+    s = sketched.reshape(BANDS, ROWS)
     h = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         h = mix(h + s[:, k])
     return h.view(np.int64)
 
 
+def planes(sketched: np.ndarray) -> np.ndarray:
+    """The lowest bits of the coordinates: PLANES rows of WORDS words."""
+    bits = np.zeros((PLANES, WORDS * 64), np.uint8)
+    bits[:, :T] = (sketched[None, :] >> np.arange(PLANES, dtype=np.uint64)[:, None]) & np.uint64(1)
+    return np.packbits(bits, axis=1).view(np.int64).ravel()
+
+
+def _least_agreeing(percent: int) -> int:
+    """Coordinates whose kept bits agree in a pair at the threshold, less six standard deviations (one pair in 10^8 has fewer)."""
+    agree = percent / 100 + (1 - percent / 100) / 2**PLANES
+    return int(T * agree - 6 * (T * agree * (1 - agree)) ** 0.5)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            n, one, two, band = [], [], [], []
+            n, one, two, band, plane = [], [], [], [], []
             for u in shingle_sets(part.column(1).to_pylist()):
                 n.append(len(u))
                 one.append(int(mix(u).sum(dtype=np.uint64).astype(np.int64)))
                 two.append(int(mix(u + _SEED[0]).sum(dtype=np.uint64).astype(np.int64)))
-                band.append(bands(u) if len(u) else None)
+                found = sketch(u) if len(u) else None
+                band.append(None if found is None else bands(found))
+                plane.append(None if found is None else planes(found))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(band, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "d1", "d2", "bands"],
+                [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (band, plane))],
+                ["doc_id", "n_shingles", "d1", "d2", "bands", "planes"],
             )
 
 
@@ -107,19 +125,30 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs(a, b) of class representatives whose full shingle sets are similar enough."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those pairs(a, b) that sizes and sketches don't rule out. The bound on sizes is exact."""
+    x = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("planes").alias("pa"))
+    y = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("planes").alias("pb"))
+    differ = sum(
+        (F.bit_count(reduce(lambda u, v: u.bitwiseOR(v), [F.col("pa")[k * WORDS + w].bitwiseXOR(F.col("pb")[k * WORDS + w]) for k in range(PLANES)])) for w in range(WORDS)), F.lit(0)
+    )
+    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return pairs.join(x, "a").join(y, "b").where(sizes & (differ <= T - _least_agreeing(percent))).select("a", "b")
+
+
+def _shingled(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The full shingle sets of those docs that have these ids(doc_id): (id, s)."""
     some = docs.select("doc_id", "text").join(small_or_shuffled(ids, ids.count()), "doc_id", "left_semi")
-    sets = materialise(some.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
+    return materialise(some.mapInArrow(_sets, "id long, s array<long>").dropDuplicates(["id"]), "sets")
+
+
+def _matching(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs(a, b) of class representatives whose full shingle sets are similar enough."""
     x = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
     y = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     found = pairs.join(x, "a").join(y, "b").withColumn("i", both).where(f"100 * i >= {percent} * (size(sa) + size(sb) - i)")
-    out = materialise(found.select("a", "b"), "links")
-    discard(sets)
-    discard(ids)
-    return out
+    return materialise(found.select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -131,16 +160,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Equal sets collapse to one class by a 128-bit digest before anything is compared, so copies cost one row each. Classes
     meet in buckets of equal bands; in each bucket the smallest is compared with the others, then, in rounds, further hubs
-    with those that aren't yet in their component, until no bucket has an uncompared pair of two components. Pairs are
-    confirmed on full sets.
+    with those that aren't yet in their component, until no bucket has an uncompared pair of two components. Pairs that
+    sizes and sketches don't rule out are confirmed on full sets.
 
     Null or blank texts: empty set, own component, kept. Rows with a null doc_id: component null, kept. Rows that repeat a
     doc_id with the same text get the same result. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_rows = materialise(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "sketches")
+    all_rows = materialise(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, planes array<long>"), "sketches")
     usable = all_rows.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(usable.groupBy("d1", "d2", "n_shingles", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = materialise(usable.groupBy("d1", "d2", "n_shingles", "bands", "planes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     links = _links(classes, rows.where("doc_id is not null"), percent)
     label = components(links)
     known = classes.select("d1", "d2", F.col("n_shingles").alias("n"), "rep").join(label, F.col("rep") == F.col("id"), "left")
@@ -158,32 +187,43 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     banded = classes.select("rep", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
     member = materialise(banded.join(hubs, "key").select("key", "rep", "hub", "m"), "buckets")
-    links = _verified(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), docs, percent)
+    pairs = materialise(_promising(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent), "pairs")
+    sets = _shingled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
+    links = _matching(pairs, sets, percent)
+    discard(sets)
     # A hub has met all of its bucket and leaves it; a bucket is settled once what is left of it lies in one component.
-    member = member.where("m > 2 and rep <> hub").select("key", "rep")
+    member, sets, turn = member.where("m > 2 and rep <> hub").select("key", "rep"), None, 0
     while True:
-        label = components(links)
-        left = member.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        split = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        left = materialise(left.join(split, "key"), "open")
+        left = _open(member, components(links), turn)
         if left.isEmpty():
             return links
-        # The next hubs come from the smallest components, so a few outsiders of a large group take one round.
-        sizes = left.groupBy("key", "c").agg(F.count("*").alias("size"))
-        ranked = materialise(left.join(sizes, ["key", "c"]).withColumn("rank", F.row_number().over(_by_key())), "ranked")
-        hub = ranked.where(F.col("rank") <= HUBS)
-        pairs = hub.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("rank").alias("ra")).join(
-            ranked.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("rank").alias("rb")), "key"
-        ).where("ra < rb and ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = materialise(links.unionByName(_verified(pairs, docs, percent)), "links")
-        member = ranked.where(F.col("rank") > HUBS).select("key", "rep")
-        discard(left)
-
-
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("size", "c", "rep")
+        hub = left.where("is_hub").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"))
+        rest = left.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("is_hub").alias("hb"))
+        pairs = small_or_shuffled(hub, hub.count()).join(rest, "key").where("ca <> cb and (not hb or a < b)")
+        pairs = materialise(_promising(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent), "pairs")
+        if not pairs.isEmpty():
+            if sets is None:  # later rounds need no others
+                sets = _shingled(left.select(F.col("rep").alias("doc_id")).distinct(), docs)
+            links = materialise(links.unionByName(_matching(pairs, sets, percent)), "links")
+        discard(pairs)
+        member, turn = left.where("not is_hub").select("key", "rep"), turn + 1
+
+
+def _open(member: DataFrame, label: DataFrame, turn: int) -> DataFrame:
+    """The members of unsettled buckets with their component c, and whether they are hubs of this turn: (key, rep, c, is_hub).
+
+    Half of the hubs come from a bucket's largest component, which they are spared, so they are the more numerous the fewer
+    are outside of it; the other half from outside. A hash of the id chooses them, so buckets that share members share hubs
+    and no bucket has to be sorted in one task.
+    """
+    all_of = member.join(label, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    sizes = all_of.groupBy("key", "c").agg(F.count("*").alias("size"))
+    split = sizes.groupBy("key").agg(F.sum("size").alias("m"), F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    split = materialise(split.select("key", "m", F.col("top.c").alias("top"), F.col("top.size").alias("g")), "split")
+    share = F.when(F.col("c") == F.col("top"), F.col("m") / (F.col("g") * (F.col("m") - F.col("g")))).otherwise(1 / (F.col("m") - F.col("g")))
+    chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 32)) / float(1 << 32)
+    found = all_of.join(small_or_shuffled(split, split.count()), "key").select("key", "rep", "c", (chance < share * (HUBS << turn)).alias("is_hub"))
+    return materialise(found, "open")
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
