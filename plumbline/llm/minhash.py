@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, discard, materialise, mix, seeds, small_or_shuffled
@@ -25,6 +25,8 @@ _LOW = np.uint64(32)
 HUBS = 16
 #: Bits of each coordinate that are kept for an estimate of a pair's similarity, packed into words of 64.
 PLANES, WORDS = 4, (T + 63) // 64
+#: Cells of the odd sketch (a power of two).
+CELLS = 1024
 
 
 def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -93,27 +95,36 @@ def planes(sketched: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64).ravel()
 
 
+def parities(u: np.ndarray) -> np.ndarray:
+    """The odd sketch of a set (Mitzenmacher, Pagh, Pham, 2014): of each cell, whether an odd number of hashes falls into it.
+
+    Two sets differ in at least as many hashes as their parities do in bits, so what this rules out is ruled out for certain.
+    """
+    odd = np.bincount((u & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _least_agreeing(percent: int) -> int:
-    """Coordinates whose kept bits agree in a pair at the threshold, less six standard deviations (one pair in 10^8 has fewer)."""
+    """Coordinates whose kept bits agree in a pair at the threshold, less five standard deviations (about one pair in 10^6 has fewer)."""
     agree = percent / 100 + (1 - percent / 100) / 2**PLANES
-    return int(T * agree - 6 * (T * agree * (1 - agree)) ** 0.5)
+    return int(T * agree - 5 * (T * agree * (1 - agree)) ** 0.5)
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             part = b.slice(at, 1000)
-            n, one, two, band, plane = [], [], [], [], []
+            n, one, two, band, mark = [], [], [], [], []
             for u in shingle_sets(part.column(1).to_pylist()):
                 n.append(len(u))
                 one.append(int(mix(u).sum(dtype=np.uint64).astype(np.int64)))
                 two.append(int(mix(u + _SEED[0]).sum(dtype=np.uint64).astype(np.int64)))
                 found = sketch(u) if len(u) else None
                 band.append(None if found is None else bands(found))
-                plane.append(None if found is None else planes(found))
+                mark.append(None if found is None else np.concatenate([planes(found), parities(u)]))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (band, plane))],
-                ["doc_id", "n_shingles", "d1", "d2", "bands", "planes"],
+                [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (band, mark))],
+                ["doc_id", "n_shingles", "d1", "d2", "bands", "marks"],
             )
 
 
@@ -125,15 +136,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
 
-def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those pairs(a, b) that sizes and sketches don't rule out. The bound on sizes is exact."""
-    x = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("planes").alias("pa"))
-    y = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("planes").alias("pb"))
-    differ = sum(
-        (F.bit_count(reduce(lambda u, v: u.bitwiseOR(v), [F.col("pa")[k * WORDS + w].bitwiseXOR(F.col("pb")[k * WORDS + w]) for k in range(PLANES)])) for w in range(WORDS)), F.lit(0)
-    )
+def _marked(classes: DataFrame, side: str) -> DataFrame:
+    return classes.select(F.col("rep").alias(side), F.col("n_shingles").alias("n" + side), F.col("marks").alias("m" + side))
+
+
+def _promising(percent: int) -> Column:
+    """Whether sizes and sketches of a and b (na, ma; nb, mb) allow a link. Only the sketch of PLANES can be wrong, see there."""
+    x = [F.col("ma")[k].bitwiseXOR(F.col("mb")[k]) for k in range(PLANES * WORDS + CELLS // 64)]
+    differ = sum((F.bit_count(reduce(lambda u, v: u.bitwiseOR(v), x[w : PLANES * WORDS : WORDS])) for w in range(WORDS)), F.lit(0))
+    odd = sum((F.bit_count(v) for v in x[PLANES * WORDS :]), F.lit(0))
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    return pairs.join(x, "a").join(y, "b").where(sizes & (differ <= T - _least_agreeing(percent))).select("a", "b")
+    return sizes & (odd * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)) & (differ <= T - _least_agreeing(percent))
 
 
 def _shingled(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -167,9 +180,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     doc_id with the same text get the same result. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_rows = materialise(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, planes array<long>"), "sketches")
+    all_rows = materialise(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, marks array<long>"), "sketches")
     usable = all_rows.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(usable.groupBy("d1", "d2", "n_shingles", "bands", "planes").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = materialise(usable.groupBy("d1", "d2", "n_shingles", "bands", "marks").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     links = _links(classes, rows.where("doc_id is not null"), percent)
     label = components(links)
     known = classes.select("d1", "d2", F.col("n_shingles").alias("n"), "rep").join(label, F.col("rep") == F.col("id"), "left")
@@ -187,30 +200,32 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     banded = classes.select("rep", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
     member = materialise(banded.join(hubs, "key").select("key", "rep", "hub", "m"), "buckets")
-    pairs = materialise(_promising(member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), classes, percent), "pairs")
+    pairs = member.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = pairs.join(_marked(classes, "a"), "a").join(_marked(classes, "b"), "b").where(_promising(percent)).select("a", "b")
+    pairs = materialise(pairs, "pairs")
     sets = _shingled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     links = _matching(pairs, sets, percent)
     discard(sets)
     # A hub has met all of its bucket and leaves it; a bucket is settled once what is left of it lies in one component.
-    member, sets, turn = member.where("m > 2 and rep <> hub").select("key", "rep"), None, 0
+    member, turn = member.where("m > 2 and rep <> hub").select("key", "rep"), 0
     while True:
-        left = _open(member, components(links), turn)
+        left = _open(member, components(links), classes, turn)
         if left.isEmpty():
             return links
-        hub = left.where("is_hub").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"))
-        rest = left.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("is_hub").alias("hb"))
-        pairs = small_or_shuffled(hub, hub.count()).join(rest, "key").where("ca <> cb and (not hb or a < b)")
-        pairs = materialise(_promising(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), classes, percent), "pairs")
+        hub = left.where("is_hub").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"), F.col("marks").alias("ma"))
+        rest = left.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"), F.col("marks").alias("mb"), F.col("is_hub").alias("hb"))
+        pairs = hub.join(rest, "key").where(F.expr("ca <> cb and (not hb or a < b)") & _promising(percent))
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
-            if sets is None:  # later rounds need no others
-                sets = _shingled(left.select(F.col("rep").alias("doc_id")).distinct(), docs)
+            sets = _shingled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
             links = materialise(links.unionByName(_matching(pairs, sets, percent)), "links")
+            discard(sets)
         discard(pairs)
         member, turn = left.where("not is_hub").select("key", "rep"), turn + 1
 
 
-def _open(member: DataFrame, label: DataFrame, turn: int) -> DataFrame:
-    """The members of unsettled buckets with their component c, and whether they are hubs of this turn: (key, rep, c, is_hub).
+def _open(member: DataFrame, label: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """The members of unsettled buckets with their component c, and whether they are hubs of this turn: (key, rep, c, is_hub, n_shingles, marks).
 
     Half of the hubs come from a bucket's largest component, which they are spared, so they are the more numerous the fewer
     are outside of it; the other half from outside. A hash of the id chooses them, so buckets that share members share hubs
@@ -223,7 +238,7 @@ def _open(member: DataFrame, label: DataFrame, turn: int) -> DataFrame:
     share = F.when(F.col("c") == F.col("top"), F.col("m") / (F.col("g") * (F.col("m") - F.col("g")))).otherwise(1 / (F.col("m") - F.col("g")))
     chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 32)) / float(1 << 32)
     found = all_of.join(small_or_shuffled(split, split.count()), "key").select("key", "rep", "c", (chance < share * (HUBS << turn)).alias("is_hub"))
-    return materialise(found, "open")
+    return materialise(found.join(classes.select("rep", "n_shingles", "marks"), "rep"), "open")
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
