@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .pieces import Cached
 
 #: Entries of the cache of token pairs and of pieces.
@@ -214,7 +215,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
             rows = [r for part in _some(texts) for r in c.digests(part)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    out = docs.withColumn("__bpe", run(F.col(text)))
+    out = bounded_batches(docs).withColumn("__bpe", run(F.col(text)))
     return out.withColumns({c: F.col(f"__bpe.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("__bpe")
 
 

@@ -12,12 +12,24 @@ from pyspark.sql import functions as F
 
 #: Tables with fewer rows than this may be broadcast; beyond it the same join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bounds of an Arrow batch of texts.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """docs, after bounding the bytes of the batches that go to Python, as texts may be long. What the session sets otherwise stays."""
+    conf = docs.sparkSession.conf
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        if not conf.isModifiable(key) or docs.sparkSession.sparkContext.getConf().get(key):
+            continue
+        conf.set(key, str(value))
+    return docs
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 WINDOW = 10
 #: Bytes of window texts in one automaton (some 100 bytes of memory each); a larger benchmark takes several, one scan each.
 BLOCK_BYTES = 2 << 20
@@ -97,7 +99,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
     if (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > MAX_BYTES:
         raise ValueError(f"the benchmark has more than {MAX_BYTES} bytes; scan for parts of it")
     blocks = windows([tuple(r) for r in own.orderBy("item_id", "text").collect()], size)
-    out = docs.withColumn("__found", F.lit(None).cast(f"struct<{RESULT.replace(' long', ': long').replace(' array', ': array')}>"))
+    out = bounded_batches(docs).withColumn("__found", F.lit(None).cast(f"struct<{RESULT.replace(' long', ': long').replace(' array', ': array')}>"))
     for block in blocks:
         out = out.withColumn("__found", _pass(docs, block, len(blocks) > 1)(F.col("text"), F.col("__found")) if len(blocks) > 1 else _pass(docs, block, False)(F.col("text")))
     return out.withColumns({c: F.col(f"__found.{c}") for c in ("n_words", "n_hit", "items", "spans")}).drop("__found")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, materialise, mix, seeds, small_or_shuffled
+from .common import BROADCAST_ROWS, bounded_batches, discard, materialise, mix, seeds, small_or_shuffled
 from .graph import components
 from .words import packs, words
 
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Null or blank texts: empty set, own component, kept. Rows with a null doc_id: component null, kept. Rows that repeat a
     doc_id with the same text get the same result. Other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = materialise(rows.mapInArrow(_sketches, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, marks array<long>"), "sketches")
     usable = all_rows.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(usable.groupBy("d1", "d2", "n_shingles", "bands", "marks").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix
+from .common import bounded_batches, discard, materialise, mix
 from .words import packs, words
 
 #: Each labeller votes bad above the first bound, good below the second, and abstains between and on texts of few words.
@@ -228,6 +228,7 @@ def classify(docs: DataFrame, scorer: Scorer | None = None, threshold: float = 0
     Null and blank texts get 0.0 and are rejected. An empty table stays empty. Other columns stay as they are; existing
     columns score and accepted are replaced.
     """
+    docs = bounded_batches(docs)
     scorer = scorer or fit(docs)[0]
     sent = docs.sparkSession.sparkContext.broadcast(scorer)
 

@@ -9,7 +9,8 @@ import numpy as np
 
 from .common import mix
 
-BLOCK = 1 << 20
+#: Bytes that are worked on at a time; numpy's temporary arrays take about 40 times as many.
+BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _NEXT = re.compile(rb"[\x20\x09-\x0d]")
@@ -19,7 +20,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd constant and of its inverse modulo 2**64."""
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max((2 * BLOCK).bit_length(), int(n).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
         one = np.full(size, _P, np.uint64)
@@ -40,7 +41,7 @@ def _block(raw: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def words(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word [^\\x20\\x09-\\x0D]+ of buf, worked on in blocks of about a megabyte."""
+    """Hash, start and end of each word [^\\x20\\x09-\\x0D]+ of buf, worked on in blocks of about BLOCK bytes."""
     parts, at = [], 0
     while at < len(buf):
         cut = len(buf)
@@ -54,7 +55,7 @@ def words(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def packs(texts: list[str | None]) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """Groups of texts of about a megabyte: index of the first, their bytes joined by line feeds, the offsets where each starts and one past the end."""
+    """Groups of texts of about BLOCK bytes: index of the first, their bytes joined by line feeds, the offsets where each starts and one past the end."""
     first, held, size = 0, [], 0
     for i, t in enumerate(texts):
         held.append((t or "").encode("utf-8", "surrogatepass"))
