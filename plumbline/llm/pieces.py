@@ -28,48 +28,45 @@ class Cached:
     def texts(self, texts: list[str | None]) -> list[list[T]]:
         """The encoded stretches of each text; a null text has none."""
         head, rest = self.head, self.rest
-        new_head: dict[str, T] = {}
-        new_rest: dict[str, T] = {}
+        firsts: set[str] = set()
+        others: set[str] = set()
         found = []
         for t in texts:
             lines = []
             for line in t.split("\n") if t else ():
                 first, *words = line.split(" ")
-                got = list(map(rest.get, words))
-                if None in got:
-                    new_rest |= dict.fromkeys([w for w, g in zip(words, got) if g is None])
-                else:
-                    words = None
-                self.seen += len(got) + 1
-                if first not in head:
-                    new_head[first] = None
-                lines.append((first, words, got))
+                firsts.add(first)
+                others.update(words)
+                self.seen += len(words) + 1
+                lines.append((first, words))
             found.append(lines)
+        new_head = [k for k in firsts.difference(head) if k.split() == [k]]
+        new_rest = [k for k in others.difference(rest) if k.split() == [k]]
         self.missed += len(new_head) + len(new_rest)
-        plain = [k for k in new_head if k.split() == [k]], [k for k in new_rest if k.split() == [k]]
-        got = self.encode([*plain[0], *(" " + k for k in plain[1])])
-        new_head, new_rest = dict(zip(plain[0], got)), dict(zip(plain[1], got[len(plain[0]) :]))
+        got = self.encode([*new_head, *(" " + k for k in new_rest)])
+        head.update(zip(new_head, got))
+        rest.update(zip(new_rest, got[len(new_head) :]))
         out = []
         for text, lines in zip(texts, found):
             done: list[T] = []
             try:
-                for k, (first, words, got) in enumerate(lines):
+                for k, (first, words) in enumerate(lines):
                     if k:
                         done.append(self.line_feed)
                     if first:
-                        done.append(head[first] if first in head else new_head[first])
-                    elif not got:
+                        done.append(head[first])
+                    elif not words:
                         raise KeyError
-                    # words are kept only where some of them were new
-                    done += got if words is None else [new_rest[w] if g is None else g for w, g in zip(words, got)]
+                    done += map(rest.__getitem__, words)
             except KeyError:
                 done = self.whole(text)
             out.append(done)
         for cache, new in ((head, new_head), (rest, new_rest)):
-            if len(cache) < self.entries:
-                cache.update(new)
+            if len(cache) > self.entries:
+                for k in new:
+                    del cache[k]
         if self.seen > 2_000_000:
-            if len(rest) >= self.entries and self.missed > 0.3 * self.seen:
+            if len(rest) + len(new_rest) > self.entries and self.missed > 0.3 * self.seen:
                 head.clear()
                 rest.clear()
             self.seen = self.missed = 0

@@ -9,17 +9,20 @@ Files of a store, all Parquet:
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, mix, new_path, small_or_shuffled
-from .pieces import Cached
 
 #: A chunk ends where the hash of the last SPAN ids has MASK's bits clear, after LEAST ids at least and MOST at most.
 SPAN, MASK, LEAST, MOST = 16, (1 << 9) - 1, 128, 4096
@@ -55,22 +58,66 @@ def root_of(hashes: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
+#: Letters, then punctuation: the usual pattern parts such a word there and nowhere else.
+PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[!-/:-@\[-`{-~]*")
+
+
 class Encoder:
-    """The tokenizers library behind a cache of words. Words that the cache lacks go to it together, parted by line feeds."""
+    """The tokenizers library behind a cache of words. Words that the cache lacks go to it together, parted by line feeds.
+
+    Where the file splits by the usual pattern, PLAIN words are split here and go to a tokenizer of the same model that splits at
+    line feeds only, as the library's matching of the pattern costs more than its merging.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        usual = form["pre_tokenizer"] or {}
+        usual = usual.get("type") == "ByteLevel" and usual.get("use_regex", True) and not usual.get("add_prefix_space") and form["model"]["type"] == "BPE"
+        self.plain = None
+        if usual and not form["normalizer"] and not form["model"].get("dropout") and all(t["special"] for t in form["added_tokens"]):
+            self.plain = Tokenizer.from_file(path)
+            self.plain.encode_special_tokens = True
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.plain.model._resize_cache(0)  # the cache of words is here
+            vocabulary = self.library.get_vocab()
+            self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each token; the byte-level alphabet has a character a byte
+            self.bytes[list(vocabulary.values())] = [len(k) for k in vocabulary]
         self.library.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.cache = Cached(self._words, self._whole, np.array([self.feed], self.type).tobytes(), entries=600_000)
+        self.cache: dict[str, bytes] = {}
+        self.entries, self.seen, self.missed = 900_000, 0, 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
     def _words(self, words: list[str]) -> list[bytes]:
+        if self.plain is None:
+            return self._odd(words)
+        plain = list(map(PLAIN.fullmatch, words))
+        odd = iter(self._odd([w for w, p in zip(words, plain) if p is None]))
+        easy = iter(self._plain([w for w, p in zip(words, plain) if p is not None]))
+        return [next(odd) if p is None else next(easy) for p in plain]
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        out, w = [], self.type.itemsize
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            stems = [x.rstrip(string.punctuation) for x in some]
+            cut = "\n".join([s if len(s) == len(x) else f"{s}\n{x[len(s):]}" for s, x in zip(stems, some)])
+            ids = np.array(self.plain.encode_batch_fast([cut], add_special_tokens=False)[0].ids, self.type)
+            feeds = np.flatnonzero(np.frombuffer("\n".join([*some, ""]).encode(), np.uint8) == 10)
+            # A word's last token is the one at whose end as many bytes are done as the words so far have.
+            ends = (np.searchsorted(np.cumsum(self.bytes[ids]), feeds - np.arange(len(feeds))) + 1) * w
+            raw, ends = ids.tobytes(), ends.tolist()
+            out += [raw[s:e] for s, e in zip([0, *ends], ends)]
+        return out
+
+    def _odd(self, words: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(words), 5000):
             ids = self._ids("\n".join(words[at : at + 5000]))
@@ -80,12 +127,55 @@ class Encoder:
             out += [raw[s * w : e * w] for s, e in zip(start.tolist(), end.tolist())]
         return out[: len(words)]
 
-    def _whole(self, text: str) -> list[bytes]:
-        return [self._ids(text).tobytes()]
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of each text and the end id, as bytes. Only a batch's distinct words, which Arrow finds, become Python objects.
 
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
+        Texts are cut at spaces, and before line feeds, which stay at the head of their word. The usual pattern never has a match
+        across such a cut, unless blanks meet there; texts where they do go to the library as they are.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        feed, empty = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        lists = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(texts, "\n", " \n"), empty), " ")
+        coded, at = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        index, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        got = list(map(self.cache.get, keys))
+        self._add(keys, got)
+        self.seen += len(index)
+        bad = np.fromiter(map(len, got), np.int64) == 0  # no word has no ids
+        sizes = np.fromiter(map(len, got), np.int64) // self.type.itemsize
+        n = sizes[index]
+        upto = np.r_[0, np.cumsum(n)]
+        # An Arrow batch's text is below 2 GB, and so are its ids' numbers.
+        start = ((np.cumsum(sizes) - sizes)[index] - upto[:-1]).astype(np.int32)
+        ids = np.frombuffer(b"".join(got), self.type)[np.repeat(start, n) + np.arange(upto[-1], dtype=np.int32)]
+        odd = np.add.reduceat(bad[index], at[:-1], dtype=np.int64).tolist() if len(texts) else []
+        raw, ends, w = ids.tobytes(), (upto[at] * self.type.itemsize).tolist(), self.type.itemsize
         tail = np.array([end_id], self.type).tobytes()
-        return [b"".join(x) + tail for x in self.cache.texts(texts)]
+        # The line feed before a text's first word isn't its own.
+        return [(self._ids(texts[i].as_py()).tobytes() if o else raw[ends[i] + w : ends[i + 1]]) + tail for i, o in enumerate(odd)]
+
+    def _add(self, keys: list[str], got: list[bytes | None]) -> None:
+        """Fills what the cache lacks; blanks that meet give no ids."""
+        lacking = [i for i, g in enumerate(got) if g is None]
+        known, words = [], []
+        for i in lacking:
+            k = keys[i]
+            word = k[1:] if k[:1] == "\n" else k
+            if word.split() == [word]:
+                known.append(i)
+                words.append(word if word is not k else " " + k)
+            else:
+                got[i] = b""
+        line = np.array([self.feed], self.type).tobytes()
+        for i, ids in zip(known, self._words(words)):
+            got[i] = line + ids if keys[i][0] == "\n" else ids
+        self.missed += len(known)
+        if len(self.cache) < self.entries:
+            self.cache.update([(keys[i], got[i]) for i in known])
+        elif self.seen > 2_000_000:
+            if self.missed > 0.3 * self.seen:
+                self.cache.clear()
+            self.seen = self.missed = 0
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -105,15 +195,16 @@ def _staged(path: str, end_id: int):
         enc = encoder(path)
         sent: set[bytes] = set()
         for b in batches:
-            texts = b.column(1).to_pylist()
+            texts = b.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             at = 0
             while at < len(texts):
                 size, end = 0, at
-                while end < len(texts) and size < 400_000:
-                    size += len(texts[end] or "")
+                while end < len(texts) and size < 2_000_000:
+                    size += sizes[end]
                     end += 1
                 rows: dict[str, list] = {k: [] for k in ("doc_id", "hashes", "ns", "root", "hash", "n", "ids")}
-                for doc, raw in zip(b.column(0)[at:end].to_pylist(), enc.encode(texts[at:end], end_id)):
+                for doc, raw in zip(b.column(0)[at:end].to_pylist(), enc.encode(texts.slice(at, end - at), end_id)):
                     ids = np.frombuffer(raw, enc.type)
                     ends = cuts(ids)
                     begins = [0, *ends[:-1]]

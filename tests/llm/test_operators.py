@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,24 @@ def test_store_round_trip(spark, docs, odd):
     assert token_store.Store(spark, token_store.write_store(odd, path)).checksums().count() == odd.count()
 
 
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rng = random.Random(2)
+    pieces = ["the", "naïve", "Straße", "don't", "x'", "a.b", "###", "...", "'s", "42", "v2.", "漢字", "🙂", "é", "×", "ª", "<|endoftext|>", "to<|endoftext|>", "a\u2028b", "can\u2019t", "_", "end_", "", " ", "\t", "\r", "\x1c"]
+    texts = [rng.choice([" ", " ", "\n", ""]).join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(4_000)]
+    texts += ["".join(rng.choice("abEé .,'\n1-") for _ in range(rng.randint(1, 60))) for _ in range(4_000)]
+    for entries in (600_000, 50):
+        own = token_store.Encoder(path)
+        own.entries = entries
+        for at in range(0, len(texts), 500):
+            want = [np.array([*e.ids, 0], own.type).tobytes() for e in t.encode_batch(texts[at : at + 500], add_special_tokens=False)]
+            assert own.encode(pa.array(texts[at : at + 500]), 0) == want
+
+
 def test_chunks_follow_content():
     ids = np.random.default_rng(1).integers(0, 50_000, 20_000)
     a, b = token_store.cuts(ids), token_store.cuts(np.r_[ids[:5_000], [7, 8, 9], ids[5_000:]])
