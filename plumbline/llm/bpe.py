@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import string
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,10 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .pieces import Cached
+from .pieces import PLAIN, Cached
 
+#: Fixed value: the pattern under which PLAIN words need no matching.
+USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of the cache of token pairs and of pieces.
 PAIRS, PIECES = 500_000, 300_000
+#: Bytes of a tail whose tokens are looked up at once, and entries of the cache of tails.
+TAIL, TAILS = 5, 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,13 +40,14 @@ class BPE:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
-        # Lengths of the tokens that end in given three bytes, longest first, and lengths 2 and 1.
+        # Lengths of the longer tokens that end in given TAIL bytes, and what candidates() found for a tail.
         sizes: dict[bytes, set[int]] = {}
         for k in ranks:
-            if len(k) > 2:
-                sizes.setdefault(k[-3:], {1, 2}).add(len(k))
+            if len(k) > TAIL:
+                sizes.setdefault(k[-TAIL:], set()).add(len(k))
         self.sizes = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.tails: dict[bytes, tuple[tuple[int, int | None], ...]] = {}
+        self.pairs: dict[int, bool] = {}  # by left << 32 | right
         self.pieces: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, data: bytes) -> list[int]:
@@ -60,24 +66,42 @@ class BPE:
         return [ranks[p] for p in parts]
 
     def follows(self, left: int, right: int) -> bool:
-        ok = self.pairs.get((left, right))
+        ok = self.pairs.get(left << 32 | right)
         if ok is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             ok = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.pairs[left, right] = ok
+            self.pairs[left << 32 | right] = ok
         return ok
 
+    def candidates(self, tail: bytes) -> tuple[tuple[int, int | None], ...]:
+        """Lengths and ids of the tokens that may end a prefix whose last TAIL bytes these are, longest first; longer ones without id."""
+        if len(self.tails) >= TAILS:
+            self.tails.clear()
+        short = [(len(tail) - i, self.ranks[tail[i:]]) for i in range(len(tail)) if tail[i:] in self.ranks]
+        found = self.tails[tail] = (*((size, None) for size in self.sizes.get(tail, ())), *short)
+        return found
+
     def last_tokens(self, data: bytes, last: list[int]) -> list[int]:
         """Extends last (the last token of each non-empty prefix so far) to all of data, in place."""
-        ranks, follows, sizes = self.ranks, self.follows, self.sizes
+        rank, known, tails = self.ranks.get, self.pairs.get, self.tails.get
         for end in range(len(last) + 1, len(data) + 1):
-            for size in sizes.get(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1)[2 - end :]:
+            tail = data[end - TAIL : end] if end > TAIL else data[:end]
+            for size, t in tails(tail) or self.candidates(tail):
                 start = end - size
-                if start < 0:
-                    continue
-                t = ranks.get(data[start:end])
-                if t is not None and (follows(last[start - 1], t) if start else self.alone(t)):
+                if t is None:
+                    if start < 0:
+                        continue
+                    t = rank(data[start:end])
+                    if t is None:
+                        continue
+                if start:
+                    ok = known(last[start - 1] << 32 | t)
+                    if ok is None:
+                        ok = self.follows(last[start - 1], t)
+                else:
+                    ok = self.alone(t)
+                if ok:
                     last.append(t)
                     break
             else:
@@ -86,9 +110,9 @@ class BPE:
 
     def alone(self, t: int) -> bool:
         """Whether a token's own bytes merge to it."""
-        ok = self.pairs.get((-1, t))
+        ok = self.pairs.get(-1 - t)
         if ok is None:
-            ok = self.pairs[-1, t] = self.merge(self.tokens[t]) == [t]
+            ok = self.pairs[-1 - t] = self.merge(self.tokens[t]) == [t]
         return ok
 
     def walk(self, last: list[int]) -> list[int]:
@@ -110,6 +134,33 @@ class BPE:
                 self.pieces[piece] = got
         return got
 
+    def encode_all(self, pieces: set[bytes]) -> dict[bytes, tuple[int, ...]]:
+        """Ids of many pieces. In their order, a piece starts from the last tokens of the prefix it shares with the one before."""
+        out, new = {}, []
+        for p in pieces:
+            got = self.pieces.get(p)
+            if got is None and (whole := self.ranks.get(p)) is not None:
+                got = (whole,)
+            if got is None:
+                new.append(p)
+            else:
+                out[p] = got
+        if len(self.pieces) + len(new) > PIECES:
+            self.pieces.clear()
+        before, last = b"", []
+        for p in sorted(new):
+            shared = 0
+            for x, y in zip(before, p):
+                if x != y:
+                    break
+                shared += 1
+            last = self.last_tokens(p, last[:shared])
+            before = p
+            out[p] = got = tuple(self.walk(last))
+            if len(p) < 64:
+                self.pieces[p] = got
+        return out
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -154,14 +205,25 @@ class Codec:
     def __init__(self, ranks_path: str, pattern: str):
         self.bpe = BPE(load_ranks(ranks_path))
         self.pattern = regex.compile(pattern)
+        self.usual = pattern == USUAL
+        self.decimal = {i: b"%d," % i for i in self.bpe.tokens}
         self.cache = Cached(self._stretches, self._whole, self._entry(self.bpe.encode(b"\n")))
 
     def _entry(self, ids) -> tuple[bytes, bytes, tuple[int, ...]]:
-        return b"%s," % b",".join(b"%d" % i for i in ids), self.bpe.decode(ids), tuple(ids)
+        return b"".join([self.decimal[i] for i in ids]), self.bpe.decode(ids), tuple(ids)
+
+    def _pieces(self, word: str) -> list[bytes]:
+        if self.usual and PLAIN.fullmatch(word):
+            stem = word.rstrip(string.punctuation)
+            found = (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
+        else:
+            found = self.pattern.findall(word)
+        return [p.encode("utf-8", "surrogatepass") for p in found]
 
     def _stretches(self, words: list[str]) -> list[tuple]:
-        encode, find = self.bpe.encode, self.pattern.findall
-        return [self._entry([i for p in find(w) for i in encode(p.encode("utf-8", "surrogatepass"))]) for w in words]
+        split = list(map(self._pieces, words))
+        ids = self.bpe.encode_all({p for ps in split for p in ps})
+        return [self._entry(ids[ps[0]] if len(ps) == 1 else [i for p in ps for i in ids[p]]) for ps in split]
 
     def _whole(self, text: str) -> list[tuple]:
         return [self._entry(self.bpe.encode(p.encode("utf-8", "surrogatepass"))) for p in self.pattern.findall(text)]

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, mix, new_path, small_or_shuffled
+from .pieces import PLAIN
 
 #: A chunk ends where the hash of the last SPAN ids has MASK's bits clear, after LEAST ids at least and MOST at most.
 SPAN, MASK, LEAST, MOST = 16, (1 << 9) - 1, 128, 4096
@@ -58,10 +58,6 @@ def root_of(hashes: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
-#: Letters, then punctuation: the usual pattern parts such a word there and nowhere else.
-PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[!-/:-@\[-`{-~]*")
-
-
 class Encoder:
     """The tokenizers library behind a cache of words. Words that the cache lacks go to it together, parted by line feeds.
 
