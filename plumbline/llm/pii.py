@@ -24,9 +24,12 @@ _HINT = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPANS = "array<struct<s: int, e: int, t: string>>"
+_PLACES = "array<struct<s: int, e: int, gone: boolean>>"
 _TERM = r"\p{L}{3,}+"
+#: What a line has: entities of a kind of its own, and those of its own or of a line next to it.
+_EVENTS = [f"{k}{reach}" for reach in ("", "_near") for k in KINDS]
 
-#: A term discloses a kind if it stands in SUPPORT of the kind's lines at least, and its pointwise mutual information with the
+#: A term discloses a kind if it stands in SUPPORT of the kind's lines, or of these and their neighbours, at least, and its pointwise mutual information with the
 #: kind is at least DISCLOSURE of the kind's own information; from REMOVAL on it is removed, below it is generalised.
 SUPPORT, DISCLOSURE, REMOVAL = 5, 0.5, 0.8
 
@@ -82,70 +85,105 @@ def _told(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def _line_words(flagged: DataFrame) -> DataFrame:
-    """rid, pos, term, s, e and a flag for each kind, for the terms of lines that hold base spans; terms that touch a span are left out."""
-    by_line, by_word = Window.partitionBy("rid").orderBy("pos"), Window.partitionBy("rid", "pos").orderBy("w")
+def _within(words_of: str) -> Column:
+    """array<struct<p, m>>: the terms of a text, each with the number of code points between it and the one before."""
+    found, between = F.regexp_extract_all(words_of, F.lit(_TERM), F.lit(0)), F.split(words_of, _TERM, -1)
+    return F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
+
+
+def _near_lines(flagged: DataFrame) -> DataFrame:
+    """rid, pos, begin, line, own and two flags for each kind, k and k_near: a base span in the line, or in it or a line next to it.
+
+    Lines that have a span neither in them nor next to them are left out.
+    """
+    by_line = Window.partitionBy("rid").orderBy("pos")
     lines = flagged.select("rid", "base", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     end = F.sum(F.length("line") + 1).over(by_line.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int") - 1
     lines = lines.withColumn("end", end).withColumn("begin", F.col("end") - F.length("line"))
-    lines = lines.withColumn("own", F.filter("base", lambda x: (x["s"] >= F.col("begin")) & (x["e"] <= F.col("end")))).where(F.size("own") > 0)
-    found, between = F.regexp_extract_all("line", F.lit(_TERM), F.lit(0)), F.split("line", _TERM, -1)
-    pair = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
-    words = lines.select("rid", "pos", "begin", "own", F.posexplode(pair).alias("w", "x"))
+    lines = lines.withColumn("own", F.filter("base", lambda x: (x["s"] >= F.col("begin")) & (x["e"] <= F.col("end"))))
+    lines = lines.withColumns({k: F.array_contains(F.transform("own", lambda x: x["kind"]), k) for k in KINDS})
+    near = {f"{k}_near": F.max(k).over(by_line.rowsBetween(-1, 1)) for k in KINDS}
+    return lines.withColumns(near).where(F.greatest(*near)).select("rid", "pos", "begin", "line", "own", *_EVENTS)
+
+
+def _line_words(near: DataFrame) -> DataFrame:
+    """rid, pos, term and the flags of near lines, once for each of a line's terms; terms that touch a span are left out."""
+    by_word = Window.partitionBy("rid", "pos").orderBy("w")
+    words = near.select("rid", "pos", "begin", "own", *_EVENTS, F.posexplode(_within("line")).alias("w", "x"))
     upto = F.sum(F.col("x.p") + F.length("x.m")).over(by_word.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
     words = words.withColumn("e", F.col("begin") + upto).withColumn("s", F.col("e") - F.length("x.m"))
-    clear = ~F.exists("own", lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s")))
-    flags = [F.array_contains(F.transform("own", lambda x: x["kind"]), k).alias(k) for k in KINDS]
-    return words.where(clear).select("rid", "pos", F.lower("x.m").alias("term"), "s", "e", *flags)
+    return words.where(_clear("own", F.col("s"), F.col("e"))).select("rid", "pos", F.lower("x.m").alias("term"), *_EVENTS).dropDuplicates(["rid", "pos", "term"])
+
 
+def _clear(spans: str, s: Column, e: Column) -> Column:
+    return ~F.exists(spans, lambda x: (x["s"] < e) & (x["e"] > s))
 
-def disclosing_terms(docs: DataFrame, words: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """term, kind, share: the terms whose presence in a line tells that the line holds an entity of a kind.
 
-    share = log2(P(term, kind) / (P(term) P(kind))) / log2(1 / P(kind)), with probabilities over all lines of docs. Terms are
-    first narrowed to those with enough joint lines; only these are then counted over the corpus.
+def disclosing_terms(docs: DataFrame, near: DataFrame, words: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """term, kind, share: the terms whose presence in a line tells that the line, or one next to it, holds an entity of a kind.
+
+    share = log2(P(term, kind) / (P(term) P(kind))) / log2(1 / P(kind)), with probabilities over all lines of docs, taken once
+    with the entities of the line itself and once with those of its neighbours too (kind is k or k_near). Terms are first
+    narrowed to those with enough joint lines; only these are then counted over the corpus.
     """
-    once = words.dropDuplicates(["rid", "pos", "term"])
-    joint = once.groupBy("term").agg(*[F.sum(F.col(k).cast("long")).alias(k) for k in KINDS])
-    joint = materialise(joint.where(F.greatest(*KINDS) >= support), "joint")
+    joint = words.groupBy("term").agg(*[F.sum(F.col(k).cast("long")).alias(k) for k in _EVENTS])
+    joint = materialise(joint.where(F.greatest(*_EVENTS) >= support), "joint")
     total = docs.agg(F.coalesce(F.sum(F.size(F.split("text", "\n", -1))), F.lit(0)).cast("double").alias("lines"))
-    n_kind = words.dropDuplicates(["rid", "pos"]).agg(*[F.coalesce(F.sum(F.col(k).cast("long")), F.lit(0)).alias(f"n_{k}") for k in KINDS])
+    n_kind = near.agg(*[F.coalesce(F.sum(F.col(k).cast("long")), F.lit(0)).alias(f"n_{k}") for k in _EVENTS])
     terms = docs.select(F.explode(F.split("text", "\n", -1)).alias("line")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0)))).alias("term"))
     few = joint.count()
     if few > BROADCAST_ROWS:
         terms = terms.groupBy("term").agg(F.count("*").alias("n_term")).join(joint, "term")
     else:
         terms = terms.join(F.broadcast(joint.select("term")), "term").groupBy("term").agg(F.count("*").alias("n_term")).join(joint, "term")
-    stack = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("both"), F.col(f"n_{k}").alias("n_kind")) for k in KINDS])).alias("x")
+    stack = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("both"), F.col(f"n_{k}").alias("n_kind")) for k in _EVENTS])).alias("x")
     each = terms.join(F.broadcast(total)).join(F.broadcast(n_kind)).select("term", "n_term", "lines", stack).where((F.col("x.both") >= support) & (F.col("x.n_kind") < F.col("lines")))
     share = F.log2(F.col("x.both") * F.col("lines") / (F.col("n_term") * F.col("x.n_kind"))) / F.log2(F.col("lines") / F.col("x.n_kind"))
     return each.select("term", F.col("x.kind").alias("kind"), share.alias("share")).where(F.col("share") >= disclosure)
 
 
+def _occurrences(text: str, own: Column, base: str) -> Column:
+    """array<struct<s, e, gone>>: where the words of own, a map from a text's disclosing terms to gone, stand clear of base spans."""
+
+    def step(a: Column, x: Column) -> Column:
+        s = a["at"] + x["p"]
+        e = s + F.length(x["m"])
+        gone = F.try_element_at(own, F.lower(x["m"]))
+        more = F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), gone.alias("gone")))).cast(_PLACES)
+        return F.struct(e.alias("at"), F.when(gone.isNotNull() & _clear(base, s, e), more).otherwise(a["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_PLACES).alias("out"))
+    return F.when(own.isNotNull(), F.aggregate(_within(text), start, step, lambda a: a["out"])).otherwise(F.array().cast(_PLACES))
+
+
 def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
     """docs(doc_id, text) with n_email, n_ip, n_card, n_phone (long), base_sha256, spans, and the sanitised text as `clean`.
 
-    Base spans are replaced by [EMAIL], [IP], [CARD], [PHONE]; disclosing terms in lines that hold a base span become [TERM],
-    or nothing where they disclose too much. Of overlapping spans the first is applied. Null texts: no spans, clean null.
+    Base spans are replaced by [EMAIL], [IP], [CARD], [PHONE]; disclosing terms become [TERM] wherever they stand, in documents
+    without base spans too, or nothing where they disclose too much; words that touch a base span go with it. Of overlapping spans the first is applied. Null texts: no spans, clean null.
     Rows that repeat id and text get the same result; other columns stay, existing ones of these names are replaced.
     """
     key = F.xxhash64("text")
     spans = _ordered(*[(k, F.col(f"__{k}")) for k in KINDS])
     flagged = base_spans(docs.select("doc_id", "text")).withColumn("base", spans).where(F.size("base") > 0)
     flagged = materialise(flagged.select(F.monotonically_increasing_id().alias("rid"), "doc_id", key.alias("h"), "text", "base"), "flagged")
-    words = materialise(_line_words(flagged), "words")
-    terms = disclosing_terms(docs, words, support, disclosure).groupBy("term").agg(F.max("share").alias("share"))
+    near = materialise(_near_lines(flagged), "near")
+    words = materialise(_line_words(near), "words")
+    terms = disclosing_terms(docs, near, words, support, disclosure).groupBy("term").agg((F.max("share") >= removal).alias("gone"))
     terms = materialise(terms, "terms")
-    hits = words.join(small_or_shuffled(terms, terms.count()), "term").groupBy("rid").agg(F.collect_set(F.struct("s", "e", (F.col("share") >= removal).alias("gone"))).alias("terms"))
-    hits = flagged.select("rid", "doc_id", "h").join(hits, "rid").groupBy(F.col("doc_id").alias("__id"), "h").agg(F.first("terms").alias("__terms"))
+    found = F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0))), lambda m: F.lower(m))
+    hits = docs.select(F.col("doc_id").alias("__id"), key.alias("h"), F.explode(found).alias("term")).join(small_or_shuffled(terms, terms.count()), "term")
+    hits = hits.groupBy("__id", "h").agg(F.map_from_entries(F.collect_set(F.struct("term", "gone"))).alias("__terms"))
     hits = materialise(hits, "hits")
     columns = [c for c in docs.columns if c not in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "clean")]
     out = base_spans(docs.select(*columns)).join(small_or_shuffled(hits, hits.count()), F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("h")), "left")
-    term = F.coalesce(F.col("__terms"), F.array().cast("array<struct<s: int, e: int, gone: boolean>>"))
+    out = out.withColumn("__base", spans)
+    term = _occurrences("text", F.col("__terms"), "__base")
     every = _ordered(*[(k, F.col(f"__{k}")) for k in KINDS], ("term", term))
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     base = F.sha2(_told(spans).cast("binary"), 256)
-    discard(words)
+    for done in (flagged, near, words):
+        discard(done)
     return out.withColumn("__every", every).select(*columns, *counts, base.alias("base_sha256"), _told(F.col("__every")).alias("spans"), _clean(F.col("text"), F.col("__every"), term).alias("clean"))
 
 

@@ -91,6 +91,16 @@ def test_pii_matches_brute_force(spark, odd):
     assert clean["nothing here"] == "nothing here" and clean[None] is None
 
 
+def test_pii_terms_beside_entities_and_far_from_them(spark):
+    texts = ["Mr Keller\nmail keller@x.com\n\nuntil then"] * 6 + ["Today Keller rang, KELLER too"] * 9 + ["Kellerman\nfair weather\nuntil then"] * 200 + [None, ""]
+    got = pii.sanitise(spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(got) == len(texts)
+    clean, spans = {r.text: r.clean for r in got}, {r.text: r.spans for r in got}
+    assert clean[texts[0]] == "Mr [TERM]\n [EMAIL]\n\nuntil then" and spans[texts[0]] == "term:3:9,term:10:14,email:15:27"
+    assert clean[texts[6]] == "Today [TERM] rang, [TERM] too" and spans[texts[6]] == "term:6:12,term:19:25"
+    assert all(clean[t] == t for t in (texts[20], None, ""))
+
+
 # 2
 
 
