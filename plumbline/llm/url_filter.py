@@ -36,19 +36,26 @@ def levels(host: Column) -> tuple[Column, Column]:
     return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
 
 
-def reputation(outcomes: DataFrame, strength: tuple[float, float, float] = (2.0, 8.0, 8.0), z: float = 1.64) -> DataFrame:
+def reputation(outcomes: DataFrame, strength: tuple[float, float, float] = (2.0, 8.0, 8.0), z: float = 1.64, hosts: DataFrame | None = None) -> DataFrame:
     """host, n, bad, rate, low for outcomes(host string, bad boolean): the posterior mean rate of bad pages and its lower bound.
 
+    The hosts of hosts(host string) that have no outcomes are judged as well, with n = 0: by the rate of their domain, or where
+    that has no outcomes either by their suffix's, or that of all.
+
     Beta-binomial shrinkage from the top down: the suffix's rate is drawn to that of all outcomes, the domain's to the
     suffix's, the host's to the domain's, each prior weighing as many pages as `strength` says for (suffix, domain, host).
     The bound is the mean less z posterior standard deviations. Rows with a null outcome don't count; null hosts are left out.
     Counts are added up before they are shuffled, so a hot host costs a row a task.
     """
     known = outcomes.where("bad is not null and host is not null")
+    counted = known.select("host", F.lit(1).cast("long").alias("n"), F.col("bad").cast("long").alias("bad"))
+    if hosts is not None:
+        none = F.lit(0).cast("long")
+        counted = counted.unionByName(hosts.where("host is not null").select("host", none.alias("n"), none.alias("bad")))
     domain, suffix = levels(F.col("host"))
-    host = known.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")).withColumns({"domain": domain, "suffix": suffix})
+    host = counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain, "suffix": suffix})
     by = {k: host.groupBy(k).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")) for k in ("suffix", "domain")}
-    whole = host.agg(F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0)).alias("base"))
+    whole = host.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)).alias("base"))
     a, b, c = strength
     top = by["suffix"].join(F.broadcast(whole)).select("suffix", ((F.col("bad") + a * F.col("base")) / (F.col("n") + a)).alias("s_rate"))
     mid = by["domain"].withColumn("suffix", F.substring_index("domain", ".", -1)).join(top, "suffix")
@@ -61,13 +68,13 @@ def reputation(outcomes: DataFrame, strength: tuple[float, float, float] = (2.0,
 def judge(pages: DataFrame, outcomes: DataFrame, threshold: float = 0.3, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """pages(url) with host, path, rule, low double and verdict: the rule's action, or block where the host's bound exceeds threshold.
 
-    Null urls and urls without '://' have empty host and path, no rule, and are allowed, as are hosts without outcomes (low
-    null). Other columns stay; existing ones of these names are replaced.
+    Hosts without outcomes are judged by their domain's, their suffix's or the overall rate. Null urls and urls without '://'
+    have empty host and path and no rule, and are allowed unless the empty host has outcomes of its own. Other columns stay; existing ones of these names are replaced.
     """
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "low", "verdict")]
     split = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    known = reputation(outcomes).select("host", "low")
+    known = reputation(outcomes, hosts=split.select("host").where("host <> ''")).select("host", "low")
     judged = split.withColumns({"rule": rule, "__action": action}).join(known, "host", "left")
     verdict = F.coalesce("__action", F.when(F.col("low") > threshold, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(*keep, "host", "path", "rule", "low", verdict.alias("verdict"))

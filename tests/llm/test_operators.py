@@ -320,6 +320,18 @@ def test_urls(spark):
     assert url_filter.judge(pages, outcomes.limit(0)).where("verdict = 'block'").count() == 2
 
 
+def test_urls_of_hosts_without_outcomes(spark):
+    outcomes = spark.createDataFrame([("old.bad.com", True)] * 30 + [("old.good.com", False)] * 90 + [("a.awful.xyz", True)] * 20 + [("b.awful.xyz", True)] * 20, "host string, bad boolean")
+    want = {"new.bad.com": "block", "new.good.com": "allow", "new.com": "allow", "other.xyz": "block", "fresh.dev": "allow"}
+    pages = spark.createDataFrame([(f"s://{h}/",) for h in want] + [("no scheme",), (None,)], "url string")
+    got = {r.url: r for r in url_filter.judge(pages, outcomes).collect()}
+    assert {h: got[f"s://{h}/"].verdict for h in want} == want and {got[u].verdict for u in ("no scheme", None)} == {"allow"}
+    base = 70 / 160
+    rate = (30 + 8 * (30 + 2 * base) / 122) / 38
+    assert abs(got["s://new.bad.com/"].low - (rate - 1.64 * (rate * (1 - rate) / 9) ** 0.5)) < 1e-9
+    assert url_filter.judge(pages, outcomes.limit(0)).where("low > 0 or verdict = 'block'").count() == 0
+
+
 # the pipeline
 
 
