@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 #: (action, host, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+#: Suffixes of two labels under which domains are registered; a fixed choice of common ones, not the whole public list.
+SUFFIXES = tuple(f"{second}.{top}" for top, seconds in {
+    "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek govt iwi maori net org school", "za": "ac co gov net org web",
+    "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or pe re", "cn": "ac com edu gov net org", "tw": "com edu gov idv net org", "hk": "com edu gov idv net org",
+    "in": "ac co edu firm gen gov ind net nic org res", "id": "ac co go or sch web", "th": "ac co go in net or", "my": "com edu gov net org", "sg": "com edu gov net org", "ph": "com edu gov net org", "vn": "com edu gov net org",
+    "br": "com edu gov net org", "ar": "com edu gob gov net org", "mx": "com edu gob net org", "co": "com edu gov net org", "pe": "com edu gob net org", "ve": "co com gob net org", "uy": "com edu gub org",
+    "tr": "com edu gen gov k12 net org", "il": "ac co gov k12 net org", "pl": "com edu gov net org", "ua": "com edu gov in net org", "ru": "com msk net org spb", "gr": "com edu gov net org", "pt": "com edu gov org", "es": "com edu gob nom org",
+    "eg": "com edu gov org", "sa": "com edu gov net org", "ae": "ac co gov net org", "pk": "com edu gov net org", "bd": "com edu gov net org", "ng": "com edu gov org", "ke": "ac co go or",
+}.items() for second in seconds.split())
+
 #: Pages of hosts named like these count as bad outcomes where no labels are at hand.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*).*$"
@@ -32,8 +42,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix): the last two labels and the last one. Hosts of fewer labels are their own."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """(registered domain, suffix): the suffix is the last label, or the last two where SUFFIXES has them; the domain has a label more.
+
+    Hosts of fewer labels are their own.
+    """
+    two = F.substring_index(host, ".", -2)
+    long = two.isin(*SUFFIXES)
+    return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
 def reputation(outcomes: DataFrame, strength: tuple[float, float, float] = (2.0, 8.0, 8.0), z: float = 1.64, hosts: DataFrame | None = None) -> DataFrame:
@@ -58,7 +73,7 @@ def reputation(outcomes: DataFrame, strength: tuple[float, float, float] = (2.0,
     whole = host.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)).alias("base"))
     a, b, c = strength
     top = by["suffix"].join(F.broadcast(whole)).select("suffix", ((F.col("bad") + a * F.col("base")) / (F.col("n") + a)).alias("s_rate"))
-    mid = by["domain"].withColumn("suffix", F.substring_index("domain", ".", -1)).join(top, "suffix")
+    mid = by["domain"].withColumn("suffix", levels(F.col("domain"))[1]).join(top, "suffix")
     mid = mid.select("domain", ((F.col("bad") + b * F.col("s_rate")) / (F.col("n") + b)).alias("d_rate"))
     out = host.join(mid, "domain").withColumn("rate", (F.col("bad") + c * F.col("d_rate")) / (F.col("n") + c))
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + c + 1))

@@ -332,6 +332,16 @@ def test_urls_of_hosts_without_outcomes(spark):
     assert url_filter.judge(pages, outcomes.limit(0)).where("low > 0 or verdict = 'block'").count() == 0
 
 
+def test_urls_under_suffixes_of_two_labels(spark):
+    outcomes = spark.createDataFrame([("shop.bad.co.uk", True)] * 40 + [("a.good.co.uk", False)] * 40 + [("x.org", False)] * 80, "host string, bad boolean")
+    want = {"new.bad.co.uk": "block", "new.good.co.uk": "allow", "elsewhere.co.uk": "allow", "co.uk": "allow"}
+    pages = spark.createDataFrame([(f"s://{h}/",) for h in want], "url string")
+    assert {r.host: r.verdict for r in url_filter.judge(pages, outcomes).collect()} == want
+    hosts = ["a.b.com.au", "b.com.au", "com.au", "au", "a.b.example.net", "", "notco.uk", "x.notco.uk"]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", *url_filter.levels(F.col("host"))).collect()
+    assert [tuple(r)[1:] for r in got] == [("b.com.au", "com.au"), ("b.com.au", "com.au"), ("com.au", "com.au"), ("au", "au"), ("example.net", "net"), ("", ""), ("notco.uk", "uk"), ("notco.uk", "uk")]
+
+
 # the pipeline
 
 
