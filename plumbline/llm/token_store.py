@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, mix, new_path, small_or_shuffled
@@ -283,11 +283,16 @@ def _write_recipes(refs: DataFrame, path: str) -> DataFrame:
     return refs.sparkSession.read.schema(out.schema).parquet(path)
 
 
+def _parents(nodes: DataFrame) -> DataFrame:
+    """node, root of the level above node, root."""
+    up = nodes.groupBy(F.floor(F.col("node") / FAN).cast("long").alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("x"))
+    return up.select(F.col("up").alias("node"), F.unhex(F.sha2(F.expr("concat_ws('', transform(x, y -> hex(y.root)))").cast("binary"), 256)).alias("root"))
+
+
 def _write_manifest(recipes: DataFrame, path: str) -> None:
     level, nodes = 0, recipes.select(F.col("rank").alias("node"), "root")
     while True:
-        up = nodes.groupBy(F.floor(F.col("node") / FAN).cast("long").alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("x"))
-        up = up.select(F.lit(level).alias("level"), F.col("up").alias("node"), F.unhex(F.sha2(F.expr("concat_ws('', transform(x, y -> hex(y.root)))").cast("binary"), 256)).alias("root"))
+        up = _parents(nodes).select(F.lit(level).alias("level"), "node", "root")
         up.write.mode("append").parquet(path)
         nodes = recipes.sparkSession.read.schema(up.schema).parquet(path).where(F.col("level") == level).select("node", "root")
         if nodes.where("node > 0").isEmpty():
@@ -295,8 +300,21 @@ def _write_manifest(recipes: DataFrame, path: str) -> None:
         level += 1
 
 
+def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes as they are, if their roots and token counts are those of their chunks."""
+    for b in batches:
+        rank, n_tokens, hashes, ns, root = (b.column(k).to_pylist() for k in ("rank", "n_tokens", "hashes", "ns", "root"))
+        for r, n, h, k, own in zip(rank, n_tokens, hashes, ns, root):
+            if not h or root_of(h) != own or len(k) != len(h) or sum(k) != n:
+                raise ValueError(f"recipe {r} is damaged")
+        yield b
+
+
 class Store:
-    """Reads a store. Its bytes are checked against their hashes as they are read."""
+    """Reads a store and verifies it: chunks against their hashes and recipes, recipes against their roots, roots against the manifest.
+
+    The manifest and the starts are checked when a reader is called, the rest as rows are read. What is missing or differs is an error.
+    """
 
     def __init__(self, spark: SparkSession, path: str, end_id: int = 0, vocabulary: int = 1 << 16):
         self.type = "<u2" if vocabulary <= 1 << 16 else "<u4"
@@ -304,10 +322,39 @@ class Store:
         self.recipes = spark.read.schema("rank long, doc_id long, start long, n_tokens long, hashes array<binary>, ns array<int>, root binary").parquet(f"{path}/recipes")
         self.manifest = spark.read.schema("level int, node long, root binary").parquet(f"{path}/manifest")
 
+    def _check_manifest(self) -> None:
+        level, nodes = 0, self.recipes.select(F.col("rank").alias("node"), "root")
+        while True:
+            stored = self.manifest.where(F.col("level") == level).select("node", "root")
+            both = _parents(nodes).join(stored.withColumnRenamed("root", "stored"), "node", "full")
+            seen = both.agg(F.count_if(~F.col("root").eqNullSafe(F.col("stored"))).alias("wrong"), F.max("node").alias("last")).first()
+            if seen.wrong:
+                raise ValueError(f"{seen.wrong} nodes of level {level} of the manifest differ from the recipes")
+            if not seen.last:
+                break
+            level, nodes = level + 1, stored
+        if not self.manifest.where(F.col("level") > level).isEmpty():
+            raise ValueError("the manifest has levels that the recipes don't")
+        before = self.recipes.select((F.col("rank") + 1).alias("rank"), (F.col("start") + F.col("n_tokens")).alias("end"))
+        end = F.coalesce("end", F.when(F.col("rank") == 0, 0))
+        wrong = self.recipes.select("rank", "start").join(before, "rank", "left").where(~F.col("start").eqNullSafe(end)).count()
+        if wrong:
+            raise ValueError(f"{wrong} recipes don't start where the one before ends")
+
     def _pieces(self) -> DataFrame:
-        r = self.recipes.select("rank", "doc_id", "start", "n_tokens", F.posexplode("hashes").alias("pos", "hash"), "ns")
+        self._check_manifest()
+        recipes = self.recipes.mapInArrow(_sound, self.recipes.schema)
+        r = recipes.select("rank", "doc_id", "start", "n_tokens", F.posexplode("hashes").alias("pos", "hash"), "ns")
         after = F.aggregate(F.slice("ns", F.col("pos") + 2, F.size("ns")), F.lit(0).cast("long"), lambda a, x: a + x)
-        return r.select("rank", "doc_id", "start", "n_tokens", "pos", "hash", after.alias("after"))
+        return r.select("rank", "doc_id", "start", F.col("n_tokens").alias("want"), "pos", "hash", F.get("ns", F.col("pos")).cast("long").alias("own"), after.alias("after"))
+
+    @staticmethod
+    def _whole(each: DataFrame, *aggregates: Column) -> DataFrame:
+        """Pieces with the n of their chunks, added up by document; an error where a chunk is missing or the numbers of tokens differ."""
+        bad = F.min(F.when(~F.col("n").eqNullSafe(F.col("own")), F.hex("hash"))).alias("bad")
+        out = each.groupBy("rank", "doc_id", "start", "want").agg(F.sum("n").alias("n_tokens"), bad, *aggregates)
+        error = F.raise_error(F.concat(F.lit("document of rank "), F.col("rank").cast("string"), F.lit(" is damaged: missing or wrong chunk "), F.coalesce("bad", F.lit("or a repeated one"))))
+        return out.where(F.when(F.col("bad").isNotNull() | (F.col("n_tokens") != F.col("want")), error.cast("boolean")).otherwise(True)).drop("want", "bad")
 
     def checksums(self) -> DataFrame:
         """rank, doc_id, start, n_tokens, ids_crc32, from the files: each chunk is read once, its CRC moved to its place in a document.
@@ -331,8 +378,8 @@ class Store:
             return pd.Series(times(crc.to_numpy().astype(np.uint32), shift(4 * after.to_numpy().astype(np.int64))).astype(np.int64))
 
         crc = self.chunks.select("hash", "ids").mapInArrow(read, "hash binary, crc long, n long")
-        each = self._pieces().join(crc, "hash").withColumn("term", moved("crc", "after"))
-        return each.groupBy("rank", "doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.bit_xor("term").alias("ids_crc32"))
+        each = self._pieces().join(crc, "hash", "left").withColumn("term", moved(F.coalesce("crc", F.lit(0).cast("long")), "after"))
+        return self._whole(each, F.bit_xor("term").alias("ids_crc32"))
 
     def documents(self) -> DataFrame:
         """rank, doc_id, start, ids array<int>: the documents, rebuilt from their recipes."""
@@ -342,7 +389,9 @@ class Store:
         def ids(raw: pd.Series) -> pd.Series:
             return pd.Series([np.frombuffer(x, kind).astype(np.int32) for x in raw], dtype=object)
 
-        each = self._pieces().join(self.chunks.select("hash", "ids"), "hash").groupBy("rank", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
+        sound = F.sha2("ids", 256) == F.lower(F.hex("hash"))  # a damaged chunk has no n, so that it is as good as missing
+        chunks = self.chunks.select("hash", "ids", F.when(sound, (F.octet_length("ids") / np.dtype(kind).itemsize).cast("long")).alias("n"))
+        each = self._whole(self._pieces().join(chunks, "hash", "left"), F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
         return each.withColumn("raw", F.expr("unhex(concat_ws('', transform(x, y -> hex(y.ids))))")).select("rank", "doc_id", "start", ids("raw").alias("ids"))
 
 

@@ -242,6 +242,34 @@ def test_store_round_trip(spark, docs, odd):
     assert token_store.Store(spark, token_store.write_store(odd, path)).checksums().count() == odd.count()
 
 
+def test_store_that_is_damaged_is_an_error(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_store, "FAN", 4)
+    whole = token_store.write_store(docs.limit(20), public_tokenizers.path("byte_bpe_50k.json"))
+    store = token_store.Store(spark, whole)
+    assert store.manifest.count() == 5 + 2 + 1 and store.checksums().count() == store.documents().count() == 20
+    gone = F.col("hash") == store.recipes.where("rank = 3").first().hashes[0]
+    other = store.recipes.where("rank = 5").first()
+    third, changed = F.col("rank") == 3, lambda c, v, at: F.when(at, v).otherwise(F.col(c))
+    cases = {
+        "a chunk is missing": ("chunks", store.chunks.where(~gone)),
+        "a chunk's ids are changed": ("chunks", store.chunks.withColumn("ids", changed("ids", F.lit(b"\1\0"), gone))),
+        "a chunk is there twice": ("chunks", store.chunks.union(store.chunks.where(gone))),
+        "a recipe's hashes are changed": ("recipes", store.recipes.withColumn("hashes", changed("hashes", F.reverse(F.concat("hashes", "hashes")), third))),
+        "a recipe is another's": ("recipes", store.recipes.withColumns({"hashes": changed("hashes", F.array(*[F.lit(bytes(h)) for h in other.hashes]), third), "ns": changed("ns", F.array(*map(F.lit, other.ns)), third), "n_tokens": changed("n_tokens", F.lit(other.n_tokens), third), "root": changed("root", F.lit(bytes(other.root)), third)})),
+        "a recipe's count is changed": ("recipes", store.recipes.withColumn("n_tokens", F.col("n_tokens") + third.cast("long"))),
+        "a start is changed": ("recipes", store.recipes.withColumn("start", F.col("start") + third.cast("long"))),
+        "the last recipe is missing": ("recipes", store.recipes.where("rank < 19")),
+        "a node is changed": ("manifest", store.manifest.withColumn("root", changed("root", F.lit(b"x"), (F.col("level") == 1) & (F.col("node") == 1)))),
+    }
+    for case, (part, table) in cases.items():
+        broken = token_store.Store(spark, whole)
+        setattr(broken, part, table)
+        for read in (broken.checksums, broken.documents):
+            with pytest.raises(Exception, match="damaged|differ|start where"):
+                read().collect()
+                print("read without an error:", case)
+
+
 def test_encoder_equals_the_library():
     from tokenizers import Tokenizer
 
