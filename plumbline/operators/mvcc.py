@@ -34,17 +34,23 @@ def with_old_values(log: DataFrame) -> DataFrame:
 def overlapping(tas: DataFrame, span: int, left: list[str], right: list[str], on: list[str] | None = None) -> DataFrame:
     """Pairs of transactions (columns a_*, b_*) with a.begin < b.begin < a.commit, or equal begins and a.ta < b.ta.
 
-    Binned by time: `span` bounds a transaction's length, so partners are in the same or the next bin, and the join stays an
-    equi-join. `on` names columns that have to be equal as well.
+    Binned by time, in bins of `span` ticks: a transaction is in each bin that it touches, so the join stays an equi-join, and
+    no pair is lost however long a transaction runs. A span about as long as most transactions makes few copies. `on` names
+    columns that have to be equal as well. Null begins and commits have no partners.
     """
     on = on or []
-    one = tas.select(*[F.col(c).alias(f"a_{c}") for c in dict.fromkeys([*left, *on])], F.explode(F.array(F.floor(F.col("begin") / span), F.floor(F.col("begin") / span) + 1)).alias("bin"))
+    one = tas.select(*[F.col(c).alias(f"a_{c}") for c in dict.fromkeys([*left, *on])], _bins(span))
     two = tas.select(*[F.col(c).alias(f"b_{c}") for c in dict.fromkeys([*right, *on])], F.floor(F.col("begin") / span).alias("bin"))
     later = (F.col("a_begin") < F.col("b_begin")) | ((F.col("a_begin") == F.col("b_begin")) & (F.col("a_ta") < F.col("b_ta")))
     both = [one["bin"] == two["bin"], *[F.col(f"a_{c}") == F.col(f"b_{c}") for c in on]]
     return one.join(two, both).where(later & (F.col("b_begin") < F.col("a_commit"))).drop("bin")
 
 
+def _bins(span: int) -> Column:
+    first, last = F.floor(F.col("begin") / span), F.floor(F.col("commit") / span)
+    return F.explode(F.sequence(first, F.greatest(first, last))).alias("bin")
+
+
 def write_conflicts(writes: DataFrame, span: int) -> DataFrame:
     """first, second, object_id: overlapping transactions that write one object. writes: ta, begin, commit, object_id."""
     pairs = overlapping(writes.dropDuplicates(["ta", "object_id"]), span, ["ta", "begin", "commit"], ["ta", "begin"], ["object_id"])
@@ -59,7 +65,7 @@ def read_conflicts(tas: DataFrame, log: DataFrame, clause: Callable[[Column], Co
     """
     old, new = F.col("old"), F.when(~F.col("is_delete"), F.col("value"))
     changed = log.where(~old.eqNullSafe(new) & (F.coalesce(clause(old), F.lit(False)) | F.coalesce(clause(new), F.lit(False))))
-    one = tas.select(F.col("ta").alias("reader"), "begin", "commit", F.explode(F.array(F.floor(F.col("begin") / span), F.floor(F.col("begin") / span) + 1)).alias("bin"))
+    one = tas.select(F.col("ta").alias("reader"), "begin", "commit", _bins(span))
     two = changed.select(F.col("ta").alias("writer"), "start", "object_id", F.floor(F.col("start") / span).alias("bin"))
     hit = (F.col("start") > F.col("begin")) & (F.col("start") < F.col("commit")) & (F.col("reader") != F.col("writer"))
     return one.join(two, "bin").where(hit).select("reader", "writer", "object_id")

@@ -32,22 +32,41 @@ def test_connected_sets_and_pairs_are_complete(graph):
     assert pairs == {frozenset((a, b)) for a in every for b in every if a < b and not a & b and graph.joined(a, b)}
 
 
-def _library(spark):
-    persons = spark.createDataFrame([("John", "1992-03-17"), ("Bob", "1987-08-05"), ("Jane", "1968-12-12"), ("Carol", "2001-04-23")], "name string, birthday string")
-    orders = spark.createDataFrame(
-        [("John", "Echoes of Time"), ("Jane", "Echoes of Time"), ("Bob", "Shadows of Dawn"), ("Bob", "Echoes of Time"), ("John", "Shadows of Dawn"), ("Jane", "Beneath the Stars"), ("Carol", "Beneath the Stars"), ("Mallory", "Silent River")],
-        "person_name string, book_title string")
-    books = spark.createDataFrame([("Forgotten Dreams", 54.92), ("Echoes of Time", 44.09), ("Shadows of Dawn", 32.99), ("Beneath the Stars", 78.21), ("Silent River", 12.5)], "title string, price double")
-    return {"persons": persons, "orders": orders, "books": books.where("price < 50")}
-
-
-@pytest.mark.parametrize("root", ["persons", "orders", "books"])
-def test_result_database_golden(spark, root):
-    g = resultdb.graph_of([("persons", "name", "orders", "person_name"), ("orders", "book_title", "books", "title")])
-    r = resultdb.reduce_fully(_library(spark), g, root)
-    assert {x.name for x in r["persons"].collect()} == {"John", "Bob", "Jane"}
-    assert r["orders"].count() == 5 and {x.title for x in r["books"].collect()} == {"Echoes of Time", "Shadows of Dawn"}
-    assert resultdb.yannakakis(_library(spark), g, root).count() == 5
+def _schools(spark):
+    """Pupils who attend courses that take place in rooms, with rows that no join reaches on each side."""
+    pupils = [(k, f"p{k}") for k in range(9)]
+    attends = [(k % 7, (k * k) % 11) for k in range(30)] + [(77, 1), (2, 99)]
+    courses = [(k, 20 + 7 * k % 40) for k in range(13)]
+    rels = {"pupils": spark.createDataFrame(pupils, "id long, name string"), "attends": spark.createDataFrame(attends, "pupil long, course long"), "courses": spark.createDataFrame(courses, "nr long, seats long").where("seats < 45")}
+    joined = [(p, a, c) for a in attends for p in pupils if p[0] == a[0] for c in courses if c[0] == a[1] and c[1] < 45]
+    return rels, joined, attends
+
+
+@pytest.mark.parametrize("root", ["pupils", "attends", "courses"])
+def test_result_database_is_what_the_join_uses(spark, root):
+    g = resultdb.graph_of([("pupils", "id", "attends", "pupil"), ("attends", "course", "courses", "nr")])
+    rels, joined, attends = _schools(spark)
+    r = resultdb.reduce_fully(rels, g, root)
+    assert sorted(map(tuple, r["pupils"].collect())) == sorted({p for p, _, _ in joined}) and sorted(map(tuple, r["courses"].collect())) == sorted({c for _, _, c in joined})
+    used = {a for _, a, _ in joined}
+    assert sorted(map(tuple, r["attends"].collect())) == sorted(a for a in attends if a in used)
+    assert resultdb.yannakakis(rels, g, root).count() == len(joined)
+
+
+def test_long_transactions_lose_no_partner(spark):
+    import random
+
+    rng = random.Random(7)
+    tas = [(k, b, b + rng.choice([1, 5, 40, 300])) for k in range(60) for b in [rng.randrange(400)]] + [(99, None, None)]
+    log = [(rng.randrange(60), rng.randrange(700), float(rng.randrange(4)), False, f"o{k % 5}", float(rng.randrange(4))) for k in range(80)]
+    t = spark.createDataFrame(tas, "ta long, begin long, commit long")
+    pairs = {(a, c) for a, b, e in tas for c, d, _ in tas if b is not None and d is not None and (b < d < e or (b == d < e and a < c))}
+    hits = {(r, w, o) for r, b, e in tas for w, at, old, _, o, new in log if b is not None and b < at < e and r != w and old != new and (old > 1 or new > 1)}
+    for span in (1, 16, 1000):
+        got = [tuple(r) for r in mvcc.overlapping(t, span, ["ta", "begin", "commit"], ["ta", "begin"]).select("a_ta", "b_ta").collect()]
+        assert len(got) == len(set(got)) and set(got) == pairs
+        logs = spark.createDataFrame(log, "ta long, start long, old double, is_delete boolean, object_id string, value double")
+        assert {tuple(r) for r in mvcc.read_conflicts(t, logs, lambda v: v > 1, span).collect()} == hits
 
 
 def test_reduction_order_and_cycles(spark):
