@@ -10,28 +10,32 @@ from __future__ import annotations
 
 import hashlib
 import json
-import string
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mix, new_path, small_or_shuffled
-from .pieces import PLAIN
+from .common import bounded_batches, discard, materialise, mix, new_path, small_or_shuffled
+from .pieces import CACHE_BYTES, Words, flat, gather, plain, work
 
 #: A chunk ends where the hash of the last SPAN ids has MASK's bits clear, after LEAST ids at least and MOST at most.
 SPAN, MASK, LEAST, MOST = 16, (1 << 9) - 1, 128, 4096
 FAN = 4096
+#: Hashes that a task recalls of the chunks that it has sent (some 16 MB).
+SENT = 100_000
 _GEAR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a document's ids. A cut depends on the SPAN ids before it and the chunk's begin only."""
+def cuts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of documents whose ids follow each other, up to ends each. A cut depends on the SPAN ids before it and the chunk's begin only.
+
+    SPAN ids reach into the document before only where no cut may be yet, as a chunk has LEAST ids.
+    """
     h = mix(ids.astype(np.uint64) + np.uint64(1))
     step, power = 1, int(_GEAR)
     while step < SPAN:
@@ -39,15 +43,23 @@ def cuts(ids: np.ndarray) -> list[int]:
         more[step:] += h[:-step] * np.uint64(power)
         h, step, power = more, step * 2, power * power % (1 << 64)
     found = np.flatnonzero((mix(h) & np.uint64(MASK)) == 0) + 1
-    out, begin = [], 0
-    for c in [*found.tolist(), len(ids)]:
-        while c - begin > MOST:
-            begin += MOST
-            out.append(begin)
-        if c - begin >= LEAST or (c == len(ids) and c > begin):
-            begin = c
-            out.append(begin)
-    return out
+    out, begin, places = [], 0, iter(found.tolist())
+    c = next(places, None)
+    for end in ends.tolist():
+        while True:
+            here = end if c is None or c >= end else c
+            while here - begin > MOST:
+                begin += MOST
+                out.append(begin)
+            if here - begin >= LEAST or here == end > begin:
+                begin = here
+                out.append(begin)
+            if c is None or c > end:
+                break
+            c = next(places, None)
+            if here == end:
+                break
+    return np.array(out, np.int64)
 
 
 def root_of(hashes: list[bytes]) -> bytes:
@@ -58,169 +70,142 @@ def root_of(hashes: list[bytes]) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
+def _alphabet() -> dict[int, int]:
+    """The byte-level alphabet: visible characters of Latin-1 stand for their bytes, further ones for the rest; line feeds part pieces here."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = sorted({*range(256)} - {*seen})
+    return {x: x for x in seen} | {b: 256 + k for k, b in enumerate(rest) if b != 10}
+
+
+_ALPHABET = _alphabet()
+
+
 class Encoder:
-    """The tokenizers library behind a cache of words. Words that the cache lacks go to it together, parted by line feeds.
+    """The tokenizers library behind a cache of words.
 
-    Where the file splits by the usual pattern, PLAIN words are split here and go to a tokenizer of the same model that splits at
-    line feeds only, as the library's matching of the pattern costs more than its merging.
+    Where the file splits by the usual pattern, plain words that the cache lacks are parted here and their pieces go to the
+    library's model, as its matching of the pattern costs more than its merging; other words go to the library together, parted by
+    line feeds. Texts of other files go to the library as they are.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, room: int = 2 * CACHE_BYTES):
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             form = json.load(f)
         usual = form["pre_tokenizer"] or {}
         usual = usual.get("type") == "ByteLevel" and usual.get("use_regex", True) and not usual.get("add_prefix_space") and form["model"]["type"] == "BPE"
-        self.plain = None
-        if usual and not form["normalizer"] and not form["model"].get("dropout") and all(t["special"] for t in form["added_tokens"]):
-            self.plain = Tokenizer.from_file(path)
-            self.plain.encode_special_tokens = True
-            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.plain.model._resize_cache(0)  # the cache of words is here
-            vocabulary = self.library.get_vocab()
-            self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each token; the byte-level alphabet has a character a byte
-            self.bytes[list(vocabulary.values())] = [len(k) for k in vocabulary]
+        usual = usual and not form["normalizer"] and not form["model"].get("dropout") and all(t["special"] for t in form["added_tokens"])
         self.library.encode_special_tokens = True
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.cache: dict[str, bytes] = {}
-        self.entries, self.seen, self.missed = 900_000, 0, 0
+        self.feed = 0
+        if usual:
+            self.model = Tokenizer.from_file(path).model
+            self.model._resize_cache(0)  # the cache of words is here
+            (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
+        self.words = Words(self._words, self._ids, self.feed, self.type, usual, room)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        if self.plain is None:
-            return self._odd(words)
-        plain = list(map(PLAIN.fullmatch, words))
-        odd = iter(self._odd([w for w, p in zip(words, plain) if p is None]))
-        easy = iter(self._plain([w for w, p in zip(words, plain) if p is not None]))
-        return [next(odd) if p is None else next(easy) for p in plain]
-
-    def _plain(self, words: list[str]) -> list[bytes]:
-        out, w = [], self.type.itemsize
+    def _words(self, words: pa.Array, easy: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data, edge = flat(words)
+        cut = np.unique(np.concatenate([edge, mark[easy]]))
+        pieces = pa.Array.from_buffers(pa.large_string(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(data)])
+        hard = np.searchsorted(cut, edge[:-1][~easy])  # words that aren't plain
+        some = np.ones(len(cut) - 1, bool)
+        some[hard] = False
+        coded = pieces.filter(pa.array(some)).dictionary_encode()
+        ids, upto = self._pieces(coded.dictionary)
+        odd, more = self._odd([pieces[i].as_py() for i in hard.tolist()])
+        start, size = np.zeros(len(cut) - 1, np.int64), np.zeros(len(cut) - 1, np.int64)
+        index = coded.indices.to_numpy()
+        start[some], size[some] = upto[:-1][index], np.diff(upto)[index]
+        start[hard], size[hard] = len(ids) + more[:-1], np.diff(more)
+        ids, at = gather(np.concatenate([ids, odd]), start, size)
+        return ids, at[np.searchsorted(cut, edge)]
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of pieces, by the library's model alone."""
+        text = b"\n".join(pieces.cast(pa.large_binary()).to_numpy(zero_copy_only=False)).decode("latin-1").translate(_ALPHABET)
+        found = [[t.id for t in self.model.tokenize(x)] for x in text.split("\n")] if len(pieces) else []
+        return np.fromiter(chain.from_iterable(found), self.type), np.r_[0, np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))]
+
+    def _odd(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of words that the library parts itself."""
+        ids, ends, done = [np.zeros(0, self.type)], [np.zeros(1, np.int64)], 0
         for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            stems = [x.rstrip(string.punctuation) for x in some]
-            cut = "\n".join([s if len(s) == len(x) else f"{s}\n{x[len(s):]}" for s, x in zip(stems, some)])
-            ids = np.array(self.plain.encode_batch_fast([cut], add_special_tokens=False)[0].ids, self.type)
-            feeds = np.flatnonzero(np.frombuffer("\n".join([*some, ""]).encode(), np.uint8) == 10)
-            # A word's last token is the one at whose end as many bytes are done as the words so far have.
-            ends = (np.searchsorted(np.cumsum(self.bytes[ids]), feeds - np.arange(len(feeds))) + 1) * w
-            raw, ends = ids.tobytes(), ends.tolist()
-            out += [raw[s:e] for s, e in zip([0, *ends], ends)]
-        return out
-
-    def _odd(self, words: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), 5000):
-            ids = self._ids("\n".join(words[at : at + 5000]))
-            edge = np.flatnonzero(ids == self.feed)
-            start, end = np.r_[0, edge + 1], np.r_[edge, len(ids)]
-            raw, w = ids.tobytes(), self.type.itemsize
-            out += [raw[s * w : e * w] for s, e in zip(start.tolist(), end.tolist())]
-        return out[: len(words)]
-
-    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
-        """Ids of each text and the end id, as bytes. Only a batch's distinct words, which Arrow finds, become Python objects.
-
-        Texts are cut at spaces, and before line feeds, which stay at the head of their word. The usual pattern never has a match
-        across such a cut, unless blanks meet there; texts where they do go to the library as they are.
-        """
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        feed, empty = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
-        lists = pc.split_pattern(pc.binary_join_element_wise(feed, pc.replace_substring(texts, "\n", " \n"), empty), " ")
-        coded, at = lists.values.dictionary_encode(), lists.offsets.to_numpy()
-        index, keys = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        got = list(map(self.cache.get, keys))
-        self._add(keys, got)
-        self.seen += len(index)
-        bad = np.fromiter(map(len, got), np.int64) == 0  # no word has no ids
-        sizes = np.fromiter(map(len, got), np.int64) // self.type.itemsize
-        n = sizes[index]
-        upto = np.r_[0, np.cumsum(n)]
-        # An Arrow batch's text is below 2 GB, and so are its ids' numbers.
-        start = ((np.cumsum(sizes) - sizes)[index] - upto[:-1]).astype(np.int32)
-        ids = np.frombuffer(b"".join(got), self.type)[np.repeat(start, n) + np.arange(upto[-1], dtype=np.int32)]
-        odd = np.add.reduceat(bad[index], at[:-1], dtype=np.int64).tolist() if len(texts) else []
-        raw, ends, w = ids.tobytes(), (upto[at] * self.type.itemsize).tolist(), self.type.itemsize
-        tail = np.array([end_id], self.type).tobytes()
-        # The line feed before a text's first word isn't its own.
-        return [(self._ids(texts[i].as_py()).tobytes() if o else raw[ends[i] + w : ends[i + 1]]) + tail for i, o in enumerate(odd)]
-
-    def _add(self, keys: list[str], got: list[bytes | None]) -> None:
-        """Fills what the cache lacks; blanks that meet give no ids."""
-        lacking = [i for i, g in enumerate(got) if g is None]
-        known, words = [], []
-        for i in lacking:
-            k = keys[i]
-            word = k[1:] if k[:1] == "\n" else k
-            if word.split() == [word]:
-                known.append(i)
-                words.append(word if word is not k else " " + k)
-            else:
-                got[i] = b""
-        line = np.array([self.feed], self.type).tobytes()
-        for i, ids in zip(known, self._words(words)):
-            got[i] = line + ids if keys[i][0] == "\n" else ids
-        self.missed += len(known)
-        if len(self.cache) < self.entries:
-            self.cache.update([(keys[i], got[i]) for i in known])
-        elif self.seen > 2_000_000:
-            if self.missed > 0.3 * self.seen:
-                self.cache.clear()
-            self.seen = self.missed = 0
+            own = self._ids("\n".join(words[at : at + 5000]) + "\n")
+            feeds = np.flatnonzero(own == self.feed)
+            ends.append(feeds - np.arange(len(feeds)) + done)
+            ids.append(own[own != self.feed])
+            done += len(ids[-1])
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of each text (large_string, no nulls) and the end id, one text after the other, and where each text ends."""
+        ids, at = self.words.ids(texts)
+        ends = at[1:] + np.arange(1, len(at))
+        own = np.ones(len(ids) + len(texts), bool)
+        own[ends - 1] = False
+        out = np.full(len(own), end_id, self.type)
+        out[own] = ids
+        return out, ends
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
+    """One encoder a process."""
     if path not in _ENCODERS:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+#: What a task of write_store gives: recipes (hash null) and chunks (hashes null).
+_STAGED = "doc_id long, hashes array<binary>, ns array<int>, root binary, hash binary, n int, ids binary"
+_FIELDS = [pa.field("doc_id", pa.int64()), pa.field("hashes", pa.list_(pa.binary())), pa.field("ns", pa.list_(pa.int32())), pa.field("root", pa.binary()), pa.field("hash", pa.binary()), pa.field("n", pa.int32()), pa.field("ids", pa.binary())]
+
+
+def _rows(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _FIELDS], schema=pa.schema(_FIELDS))
+
+
 def _staged(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         sent: set[bytes] = set()
+        w = enc.type.itemsize
         for b in batches:
-            texts = b.column(1)
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            at = 0
-            while at < len(texts):
-                size, end = 0, at
-                while end < len(texts) and size < 2_000_000:
-                    size += sizes[end]
-                    end += 1
-                rows: dict[str, list] = {k: [] for k in ("doc_id", "hashes", "ns", "root", "hash", "n", "ids")}
-                for doc, raw in zip(b.column(0)[at:end].to_pylist(), enc.encode(texts.slice(at, end - at), end_id)):
-                    ids = np.frombuffer(raw, enc.type)
-                    ends = cuts(ids)
-                    begins = [0, *ends[:-1]]
-                    w = enc.type.itemsize
-                    parts = [raw[s * w : e * w] for s, e in zip(begins, ends)]
-                    names = [hashlib.sha256(p).digest() for p in parts]
-                    for k, v in (("doc_id", doc), ("hashes", names), ("ns", np.diff([0, *ends]).tolist()), ("root", root_of(names)), ("hash", None), ("n", None), ("ids", None)):
-                        rows[k].append(v)
-                    for h, p in zip(names, parts):
-                        if h not in sent:  # once a task, as far as a bounded set recalls
-                            if len(sent) < 200_000:
-                                sent.add(h)
-                            for k, v in (("doc_id", None), ("hashes", None), ("ns", None), ("root", None), ("hash", h), ("n", len(p) // w), ("ids", p)):
-                                rows[k].append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows["doc_id"], pa.int64()), pa.array(rows["hashes"], pa.list_(pa.binary())), pa.array(rows["ns"], pa.list_(pa.int32())), pa.array(rows["root"], pa.binary()),
-                     pa.array(rows["hash"], pa.binary()), pa.array(rows["n"], pa.int32()), pa.array(rows["ids"], pa.binary())],
-                    ["doc_id", "hashes", "ns", "root", "hash", "n", "ids"],
-                )
-                at = end
+            done = 0
+            for texts in work(b.column(1)):
+                docs = b.column(0).slice(done, len(texts))
+                done += len(texts)
+                ids, ends = enc.encode(texts, end_id)
+                cut = cuts(ids, ends)
+                raw, at = ids.tobytes(), [0, *(cut * w).tolist()]
+                parts = [raw[x:y] for x, y in zip(at, at[1:])]
+                names = [hashlib.sha256(p).digest() for p in parts]
+                ns = np.diff(np.r_[0, cut]).astype(np.int32)
+                own = np.r_[0, np.searchsorted(cut, ends) + 1].astype(np.int32)  # chunks up to each document
+                roots = [root_of(names[x:y]) for x, y in zip(own.tolist(), own[1:].tolist())]
+                hashes = pa.array(names, pa.binary())
+                yield _rows(doc_id=docs, hashes=pa.ListArray.from_arrays(own, hashes), ns=pa.ListArray.from_arrays(own, pa.array(ns)), root=pa.array(roots, pa.binary()))
+                new = []
+                for i, h in enumerate(names):
+                    if h not in sent:  # once a task, as far as a bounded set recalls
+                        if len(sent) < SENT:
+                            sent.add(h)
+                        new.append(i)
+                if new:
+                    yield _rows(hash=hashes.take(pa.array(new)), n=pa.array(ns[new]), ids=pa.array([parts[i] for i in new], pa.binary()))
 
     return run
 
@@ -234,11 +219,10 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "store")
-    kind = "doc_id long, hashes array<binary>, ns array<int>, root binary, hash binary, n int, ids binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     try:
-        staged = materialise(rows.mapInArrow(_staged(tokenizer, end_id), kind).withColumn("task", F.spark_partition_id()), "staged")
+        staged = materialise(bounded_batches(rows).mapInArrow(_staged(tokenizer, end_id), _STAGED).withColumn("task", F.spark_partition_id()), "staged")
         _write_chunks(staged, f"{path}/chunks")
         ranked = _write_recipes(staged.where("hashes is not null").select("doc_id", "hashes", "ns", "root"), f"{path}/recipes")
         discard(staged)
