@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise, small_or_shuffled
+
 #: (action, host, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -18,7 +22,6 @@ SUFFIXES = tuple(f"{second}.{top}" for top, seconds in {
     "eg": "com edu gov org", "sa": "com edu gov net org", "ae": "ac co gov net org", "pk": "com edu gov net org", "bd": "com edu gov net org", "ng": "com edu gov org", "ke": "ac co go or",
 }.items() for second in seconds.split())
 
-#: Pages of hosts named like these count as bad outcomes where no labels are at hand.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*).*$"
 
@@ -51,16 +54,69 @@ def levels(host: Column) -> tuple[Column, Column]:
     return F.when(long, F.substring_index(host, ".", -3)).otherwise(two), F.when(long, two).otherwise(F.substring_index(host, ".", -1))
 
 
-def reputation(outcomes: DataFrame, strength: tuple[float, float, float] = (2.0, 8.0, 8.0), z: float = 1.64, hosts: DataFrame | None = None) -> DataFrame:
-    """host, n, bad, rate, low for outcomes(host string, bad boolean): the posterior mean rate of bad pages and its lower bound.
+#: A prior weighs as many pages as its level's counts say, within these bounds, or this many where they say nothing.
+LEAST_STRENGTH, MOST_STRENGTH, STRENGTH = 1.0, 1000.0, 8.0
+#: What a prior weighs at least, however little is known of the levels above.
+LEAST_PRIOR = 0.01
+#: A page is bad above this rate; a host is blocked if its rate is above it with at least this probability.
+THRESHOLD, SURE = 0.3, 0.95
+#: Steps of the integral over each side of a posterior, and the standard deviations of its logarithmic odds to each side that it covers.
+STEPS, REACH = 128, 40
+
+
+def strength(groups: DataFrame) -> DataFrame:
+    """One row with `strength`, the weight in pages of the beta prior of groups(n, bad, mean), by moments.
+
+    Of groups whose rates are drawn from beta distributions with the given means and one strength, sum n (p - mean)^2 is expected to be
+    sum mean (1 - mean) (1 + (n - 1) / (strength + 1)). Groups without outcomes don't count.
+    """
+    v = F.col("mean") * (1 - F.col("mean"))
+    seen = groups.where("n > 0").agg(F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("mean"), F.lit(2.0))).alias("q"), F.sum(v).alias("a"), F.sum((F.col("n") - 1) * v).alias("c"))
+    share = F.try_divide(F.col("q") - F.col("a"), F.col("c"))
+    found = F.when(share > 0, 1 / share - 1).when(share.isNotNull(), MOST_STRENGTH)
+    return seen.select(F.coalesce(F.least(F.greatest(found, F.lit(LEAST_STRENGTH)), F.lit(MOST_STRENGTH)), F.lit(STRENGTH)).alias("strength"))
+
+
+def _drawn(groups: DataFrame) -> DataFrame:
+    """groups(n, bad, mean, weight, ...) with alpha and beta of their posteriors, and their mean and weight in mean and weight.
+
+    mean and weight are those of the parents' posteriors. A parent known by few pages makes the prior as much wider as its own
+    posterior is wide.
+    """
+    one = groups.join(F.broadcast(strength(groups)))
+    own = 1 / (1 / (F.col("strength") + 1) + 1 / (F.col("weight") + 1)) - 1
+    one = one.withColumn("prior", F.greatest(own, F.lit(LEAST_PRIOR)))
+    one = one.withColumns({"alpha": F.col("bad") + F.col("prior") * F.col("mean"), "beta": F.col("n") - F.col("bad") + F.col("prior") * (1 - F.col("mean"))})
+    return one.withColumns({"mean": F.col("alpha") / (F.col("alpha") + F.col("beta")), "weight": F.col("n") + F.col("prior")})
+
+
+def above(alpha: Column, beta: Column, x: float) -> Column:
+    """Probability that a beta variable is above x: integrals over its logarithmic odds, where its density has no poles, to both sides of x."""
+    reach = REACH * F.sqrt(1 / alpha + 1 / beta)
+    middle = F.ln(alpha / beta)
+    low, high = middle - reach, middle + reach
+    line = F.greatest(low, F.least(high, F.lit(math.log(x / (1 - x)))))
+    softly = lambda u: F.ln(1 + F.exp(-F.abs(u))) + F.greatest(u, F.lit(0.0))  # noqa: E731  ln(1 + e^u)
+    log = lambda u: -alpha * softly(-u) - beta * softly(u)
+
+    def side(begin: Column, end: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.lit(STEPS - 1))
+        return (end - begin) * F.aggregate(steps, F.lit(0.0), lambda s, k: s + F.exp(log(begin + (end - begin) * ((k + 0.5) / STEPS)) - log(middle)))
+
+    return side(line, high) / (side(low, line) + side(line, high))
+
+
+def reputation(outcomes: DataFrame, hosts: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """host, n, bad, rate, sure for outcomes(host string, bad boolean): the posterior mean rate of bad pages, and the probability that the rate is above threshold.
 
     The hosts of hosts(host string) that have no outcomes are judged as well, with n = 0: by the rate of their domain, or where
     that has no outcomes either by their suffix's, or that of all.
 
     Beta-binomial shrinkage from the top down: the suffix's rate is drawn to that of all outcomes, the domain's to the
-    suffix's, the host's to the domain's, each prior weighing as many pages as `strength` says for (suffix, domain, host).
-    The bound is the mean less z posterior standard deviations. Rows with a null outcome don't count; null hosts are left out.
-    Counts are added up before they are shuffled, so a hot host costs a row a task.
+    suffix's, the host's to the domain's. The strength of the prior of each level is estimated from the counts of its groups,
+    and weakened where the level above is itself known by few pages.
+    Rows with a null outcome don't count; null hosts are left out. Without outcomes no host is surely bad. Counts are added up
+    before they are shuffled, so a hot host costs a row a task.
     """
     known = outcomes.where("bad is not null and host is not null")
     counted = known.select("host", F.lit(1).cast("long").alias("n"), F.col("bad").cast("long").alias("bad"))
@@ -70,29 +126,30 @@ def reputation(outcomes: DataFrame, strength: tuple[float, float, float] = (2.0,
     domain, suffix = levels(F.col("host"))
     host = counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain, "suffix": suffix})
     by = {k: host.groupBy(k).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")) for k in ("suffix", "domain")}
-    whole = host.agg(F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)).alias("base"))
-    a, b, c = strength
-    top = by["suffix"].join(F.broadcast(whole)).select("suffix", ((F.col("bad") + a * F.col("base")) / (F.col("n") + a)).alias("s_rate"))
-    mid = by["domain"].withColumn("suffix", levels(F.col("domain"))[1]).join(top, "suffix")
-    mid = mid.select("domain", ((F.col("bad") + b * F.col("s_rate")) / (F.col("n") + b)).alias("d_rate"))
-    out = host.join(mid, "domain").withColumn("rate", (F.col("bad") + c * F.col("d_rate")) / (F.col("n") + c))
-    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + c + 1))
-    return out.select("host", "n", "bad", "rate", F.greatest(F.lit(0.0), F.col("rate") - z * spread).alias("low"))
+    # The mean of all is kept from 0 and 1, where a beta distribution has no width.
+    whole = host.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("n") + 1.0), F.lit(0.5)).alias("mean"), F.coalesce(F.sum("n") + 1.0, F.lit(1.0)).alias("weight"))
+    top = _drawn(by["suffix"].join(F.broadcast(whole))).select("suffix", "mean", "weight")
+    mid = _drawn(by["domain"].withColumn("suffix", levels(F.col("domain"))[1]).join(top, "suffix")).select("domain", "mean", "weight")
+    out = _drawn(host.join(mid, "domain"))
+    any_ = known.agg((F.count("*") > 0).alias("any"))
+    return out.join(F.broadcast(any_)).select("host", "n", "bad", F.col("mean").alias("rate"), F.when(F.col("any"), above(F.col("alpha"), F.col("beta"), threshold)).otherwise(0.0).alias("sure"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, threshold: float = 0.3, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    """pages(url) with host, path, rule, low double and verdict: the rule's action, or block where the host's bound exceeds threshold.
+def judge(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHOLD, sure: float = SURE, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """pages(url) with host, path, rule, sure double and verdict: the rule's action, or block where the host's rate of bad pages is above threshold with probability `sure`.
 
     Hosts without outcomes are judged by their domain's, their suffix's or the overall rate. Null urls and urls without '://'
-    have empty host and path and no rule, and are allowed unless the empty host has outcomes of its own. Other columns stay; existing ones of these names are replaced.
+    have empty host and path and no rule, and are allowed unless the empty host has outcomes of its own. Of rules of equal
+    length that fit, the last in order of their text wins. Null ids and repeated rows are rows like others; an empty table stays
+    empty. Other columns stay; existing ones of these names are replaced.
     """
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "low", "verdict")]
+    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "sure", "verdict")]
     split = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    known = reputation(outcomes, hosts=split.select("host").where("host <> ''")).select("host", "low")
-    judged = split.withColumns({"rule": rule, "__action": action}).join(known, "host", "left")
-    verdict = F.coalesce("__action", F.when(F.col("low") > threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return judged.select(*keep, "host", "path", "rule", "low", verdict.alias("verdict"))
+    known = materialise(reputation(outcomes, split.select("host").where("host <> ''"), threshold).select("host", "sure"), "reputation")
+    judged = split.withColumns({"rule": rule, "__action": action}).join(small_or_shuffled(known, known.count()), "host", "left")
+    verdict = F.coalesce("__action", F.when(F.col("sure") >= sure, F.lit("block")).otherwise(F.lit("allow")))
+    return judged.select(*keep, "host", "path", "rule", "sure", verdict.alias("verdict"))
 
 
 def outcomes_of(pages: DataFrame, labels: DataFrame) -> DataFrame:
