@@ -102,11 +102,8 @@ def _compare(threshold: float):
             for s, e in zip(edge[:-1], edge[1:]):
                 if e - s < 2:
                     continue
-                own = [x for x in _by_dim(column.slice(s, e - s))]
-                if len(own) > 1:  # only by a collision of hashes do dimensions meet
-                    own = own[:]
-                for rows, unit in own:
-                    _block(unit, side[s + rows], int(t[s]), ids[s + rows], copies[s + rows], threshold, links, near)
+                for rows, unit in _by_dim(column.slice(s, e - s)):  # only by a collision of hashes do dimensions meet
+                    _block(unit, side[s + rows], key[s, 1] == key[s, 2], int(t[s]), ids[s + rows], copies[s + rows], threshold, links, near)
             if links:
                 a, b = zip(*near) if near else ((), ())
                 k, v = zip(*links.items())
@@ -115,13 +112,16 @@ def _compare(threshold: float):
     return run
 
 
-def _block(unit, side, t, ids, copies, threshold, links, near) -> None:
-    """Counts each link in the first table where both ends meet; joins the ends of links by a forest, not by all pairs."""
-    one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(ids)),) * 2
+def _block(unit, side, own, t, ids, copies, threshold, links, near) -> None:
+    """Counts each link in the first table where both ends meet; joins the ends of links by a forest, not by all pairs.
+
+    own: whether a block meets itself; else its rows are on two sides, of which one may be empty.
+    """
+    one, two = (np.arange(len(ids)),) * 2 if own else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     cos = unit[one] @ unit[two].T
     i, j = np.nonzero(cos >= threshold - 1e-9)
     i, j = one[i], two[j]
-    ok = i < j if one is two else ids[i] != ids[j]
+    ok = i < j if own else ids[i] != ids[j]
     i, j = i[ok], j[ok]
     exact = (unit[i] * unit[j]).sum(axis=1) >= threshold
     i, j = i[exact], j[exact]
@@ -180,6 +180,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK)
     full = met.join(classes.select("class", "copies", "v"), "class").select("bucket", "x", "y", "side", "t", "class", "copies", "v")
     spread = full.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     found = materialise(spread.mapInArrow(_compare(threshold), "a long, b long, n long"), "links")
+    discard(hashed)
     label = components(found.where("a <> b").select("a", "b"))
     n = found.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     own = classes.select("d", "class", "copies").join(n, "class", "left").join(label, F.col("class") == F.col("id"), "left")
@@ -187,6 +188,3 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK)
     out = rows.select("vec_id", "d").join(small_or_shuffled(own, classes.count()), "d", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
-
-
-__all__ = ["discard", "near_vectors"]

@@ -56,7 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         row = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row[0] <= LOCAL_EDGES:
-            return materialise(e.coalesce(1).mapInArrow(_union_find, "id long, component long"), "components")
+            out = materialise(e.coalesce(1).mapInArrow(_union_find, "id long, component long"), "components")
+            discard(e)
+            return out
         if tuple(row) == seen:
             break
         seen, last = tuple(row), e

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, materialise
+from .common import BROADCAST_ROWS, materialise
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -45,6 +45,3 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     n_lines, n_kept = (F.coalesce(F.size(F.when(F.col("text").isNotNull(), c)), F.lit(0)).cast("long") for c in (_lines(), F.col("__kept")))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.withColumns({"n_lines": n_lines, "n_removed": n_lines - n_kept, "text": F.array_join("__kept", "\n")}).select(*columns, "n_lines", "n_removed")
-
-
-__all__ = ["boilerplate", "discard", "drop_boilerplate"]

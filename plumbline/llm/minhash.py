@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bounded_batches, discard, materialise, mix, seeds, small_or_shuffled
+from .common import bounded_batches, discard, materialise, mix, seeds, small_or_shuffled
 from .graph import components
 from .words import packs, words
 
@@ -185,6 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = materialise(usable.groupBy("d1", "d2", "n_shingles", "bands", "marks").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     links = _links(classes, rows.where("doc_id is not null"), percent)
     label = components(links)
+    discard(links)
     known = classes.select("d1", "d2", F.col("n_shingles").alias("n"), "rep").join(label, F.col("rep") == F.col("id"), "left")
     known = known.select("d1", "d2", "n", "rep", F.coalesce("component", "rep").alias("component_id"))
     n_known = classes.where("copies > 1").count() + label.count()
@@ -205,12 +206,17 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     pairs = materialise(pairs, "pairs")
     sets = _shingled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
     links = _matching(pairs, sets, percent)
-    discard(sets)
+    discard(sets, pairs)
+    buckets = member
     # A hub has met all of its bucket and leaves it; a bucket is settled once what is left of it lies in one component.
     member, turn = member.where("m > 2 and rep <> hub").select("key", "rep"), 0
+    left = None
     while True:
-        left = _open(member, components(links), classes, turn)
+        label, before = components(links), left
+        left = _open(member, label, classes, turn)
+        discard(label, *([before] if before else []))
         if left.isEmpty():
+            discard(left, buckets)
             return links
         hub = left.where("is_hub").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"), F.col("marks").alias("ma"))
         rest = left.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"), F.col("marks").alias("mb"), F.col("is_hub").alias("hb"))
@@ -218,8 +224,9 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
             sets = _shingled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
-            links = materialise(links.unionByName(_matching(pairs, sets, percent)), "links")
-            discard(sets)
+            new, old = _matching(pairs, sets, percent), links
+            links = materialise(old.unionByName(new), "links")
+            discard(sets, new, old)
         discard(pairs)
         member, turn = left.where("not is_hub").select("key", "rep"), turn + 1
 
@@ -238,7 +245,9 @@ def _open(member: DataFrame, label: DataFrame, classes: DataFrame, turn: int) ->
     share = F.when(F.col("c") == F.col("top"), F.col("m") / (F.col("g") * (F.col("m") - F.col("g")))).otherwise(1 / (F.col("m") - F.col("g")))
     chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 32)) / float(1 << 32)
     found = all_of.join(small_or_shuffled(split, split.count()), "key").select("key", "rep", "c", (chance < share * (HUBS << turn)).alias("is_hub"))
-    return materialise(found.join(classes.select("rep", "n_shingles", "marks"), "rep"), "open")
+    out = materialise(found.join(classes.select("rep", "n_shingles", "marks"), "rep"), "open")
+    discard(split)
+    return out
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -249,6 +258,3 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = materialise(near_duplicates(docs, percent), "near")
     gone = found.where("not kept").select("doc_id").distinct()
     return docs.join(small_or_shuffled(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-
-
-__all__ = ["BROADCAST_ROWS", "keep_one", "near_duplicates", "sketch"]

@@ -28,6 +28,7 @@ SPAN, MASK, LEAST, MOST = 16, (1 << 9) - 1, 128, 4096
 FAN = 4096
 #: Hashes that a task recalls of the chunks that it has sent (some 16 MB).
 SENT = 100_000
+_ZSTD = {"compression": "zstd"}
 _GEAR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -220,15 +221,11 @@ def write_store(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
     spark = docs.sparkSession
     path = path or new_path(spark, "store")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    try:
-        staged = materialise(bounded_batches(rows).mapInArrow(_staged(tokenizer, end_id), _STAGED).withColumn("task", F.spark_partition_id()), "staged")
-        _write_chunks(staged, f"{path}/chunks")
-        ranked = _write_recipes(staged.where("hashes is not null").select("doc_id", "hashes", "ns", "root"), f"{path}/recipes")
-        discard(staged)
-        _write_manifest(ranked, f"{path}/manifest")
-    finally:
-        spark.conf.unset("spark.sql.parquet.compression.codec")
+    staged = materialise(bounded_batches(rows).mapInArrow(_staged(tokenizer, end_id), _STAGED).withColumn("task", F.spark_partition_id()), "staged", **_ZSTD)
+    _write_chunks(staged, f"{path}/chunks")
+    ranked = _write_recipes(staged.where("hashes is not null").select("doc_id", "hashes", "ns", "root"), f"{path}/recipes")
+    discard(staged)
+    _write_manifest(ranked, f"{path}/manifest")
     return path
 
 
@@ -241,17 +238,16 @@ def _write_chunks(staged: DataFrame, path: str) -> None:
     # A task's memory of chunks is bounded, so a chunk may be in one task twice.
     own = materialise(chunks.groupBy("hash", "task").agg(F.count("*").alias("c")).where("c > 1").select("hash"), "own")
     if own.isEmpty():
-        out.select("hash", "n", "ids").write.parquet(path)
+        out.select("hash", "n", "ids").write.options(**_ZSTD).parquet(path)
     else:
-        out.select("hash", "n", "ids").dropDuplicates(["hash"]).write.parquet(path)
-    discard(twice)
-    discard(own)
+        out.select("hash", "n", "ids").dropDuplicates(["hash"]).write.options(**_ZSTD).parquet(path)
+    discard(twice, own)
 
 
 def _write_recipes(refs: DataFrame, path: str) -> DataFrame:
     total = F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x)
     sorted_ = refs.withColumn("n_tokens", total).repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("root")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "root")
-    sorted_ = materialise(sorted_.withColumn("part", F.spark_partition_id()), "sorted")
+    sorted_ = materialise(sorted_.withColumn("part", F.spark_partition_id()), "sorted", **_ZSTD)
     sums = sorted_.groupBy("part").agg(F.count("*").alias("c"), F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row a partition
     before, done = [], [0, 0]
     for r in sums:
@@ -262,7 +258,7 @@ def _write_recipes(refs: DataFrame, path: str) -> DataFrame:
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     small = sorted_.select("part", "doc_id", "root", "n_tokens", "hashes", "ns").withColumns({"r": F.row_number().over(w), "s": F.sum("n_tokens").over(upto)})
     out = small.join(offsets, "part").select((F.col("c0") + F.col("r") - 1).alias("rank"), "doc_id", (F.col("n0") + F.col("s") - F.col("n_tokens")).alias("start"), "n_tokens", "hashes", "ns", "root")
-    out.write.parquet(path)
+    out.write.options(**_ZSTD).parquet(path)
     discard(sorted_)
     return refs.sparkSession.read.schema(out.schema).parquet(path)
 
@@ -277,7 +273,7 @@ def _write_manifest(recipes: DataFrame, path: str) -> None:
     level, nodes = 0, recipes.select(F.col("rank").alias("node"), "root")
     while True:
         up = _parents(nodes).select(F.lit(level).alias("level"), "node", "root")
-        up.write.mode("append").parquet(path)
+        up.write.mode("append").options(**_ZSTD).parquet(path)
         nodes = recipes.sparkSession.read.schema(up.schema).parquet(path).where(F.col("level") == level).select("node", "root")
         if nodes.where("node > 0").isEmpty():
             return
@@ -294,14 +290,18 @@ def _sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b
 
 
+def _kind(n_bytes: int, n: int) -> str:
+    """The type of n ids in so many bytes, so that a store needn't be told its vocabulary."""
+    return "<u2" if n_bytes == 2 * n else "<u4"
+
+
 class Store:
     """Reads a store and verifies it: chunks against their hashes and recipes, recipes against their roots, roots against the manifest.
 
     The manifest and the starts are checked when a reader is called, the rest as rows are read. What is missing or differs is an error.
     """
 
-    def __init__(self, spark: SparkSession, path: str, end_id: int = 0, vocabulary: int = 1 << 16):
-        self.type = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    def __init__(self, spark: SparkSession, path: str):
         self.chunks = spark.read.schema("hash binary, n int, ids binary").parquet(f"{path}/chunks")
         self.recipes = spark.read.schema("rank long, doc_id long, start long, n_tokens long, hashes array<binary>, ns array<int>, root binary").parquet(f"{path}/recipes")
         self.manifest = spark.read.schema("level int, node long, root binary").parquet(f"{path}/manifest")
@@ -346,37 +346,35 @@ class Store:
         crc(a + b) = crc(a) * x^(8 * bytes of b) + crc(b) over GF(2), so a document's CRC is the sum of its chunks' moved CRCs,
         and no ids are shuffled.
         """
-        kind = self.type
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 crc = []
-                for h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if hashlib.sha256(raw).digest() != h:
+                for h, n, raw in zip(*(b.column(k).to_pylist() for k in ("hash", "n", "ids"))):
+                    if len(raw) not in (2 * n, 4 * n) or hashlib.sha256(raw).digest() != h:
                         raise ValueError(f"chunk {h.hex()} is damaged")
-                    crc.append(zlib.crc32(np.frombuffer(raw, kind).astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_pydict({"hash": b.column(0), "crc": np.array(crc, np.int64), "n": np.array([len(x) for x in b.column(1).to_pylist()], np.int64) // np.dtype(kind).itemsize})
+                    crc.append(zlib.crc32(np.frombuffer(raw, _kind(len(raw), n)).astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_pydict({"hash": b.column("hash"), "crc": np.array(crc, np.int64), "n": b.column("n").cast(pa.int64())})
 
         @F.pandas_udf("long")
         def moved(crc: pd.Series, after: pd.Series) -> pd.Series:
             return pd.Series(times(crc.to_numpy().astype(np.uint32), shift(4 * after.to_numpy().astype(np.int64))).astype(np.int64))
 
-        crc = self.chunks.select("hash", "ids").mapInArrow(read, "hash binary, crc long, n long")
+        crc = bounded_batches(self.chunks).select("hash", "n", "ids").mapInArrow(read, "hash binary, crc long, n long")
         each = self._pieces().join(crc, "hash", "left").withColumn("term", moved(F.coalesce("crc", F.lit(0).cast("long")), "after"))
         return self._whole(each, F.bit_xor("term").alias("ids_crc32"))
 
     def documents(self) -> DataFrame:
         """rank, doc_id, start, ids array<int>: the documents, rebuilt from their recipes."""
-        kind = self.type
 
         @F.pandas_udf("array<int>")
-        def ids(raw: pd.Series) -> pd.Series:
-            return pd.Series([np.frombuffer(x, kind).astype(np.int32) for x in raw], dtype=object)
+        def ids(raw: pd.Series, n: pd.Series) -> pd.Series:
+            return pd.Series([np.frombuffer(x, _kind(len(x), k)).astype(np.int32) for x, k in zip(raw, n)], dtype=object)
 
-        sound = F.sha2("ids", 256) == F.lower(F.hex("hash"))  # a damaged chunk has no n, so that it is as good as missing
-        chunks = self.chunks.select("hash", "ids", F.when(sound, (F.octet_length("ids") / np.dtype(kind).itemsize).cast("long")).alias("n"))
+        sound = (F.sha2("ids", 256) == F.lower(F.hex("hash"))) & F.octet_length("ids").isin(F.col("n") * 2, F.col("n") * 4)
+        chunks = self.chunks.select("hash", "ids", F.when(sound, F.col("n").cast("long")).alias("n"))  # a damaged chunk is as good as missing
         each = self._whole(self._pieces().join(chunks, "hash", "left"), F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))
-        return each.withColumn("raw", F.expr("unhex(concat_ws('', transform(x, y -> hex(y.ids))))")).select("rank", "doc_id", "start", ids("raw").alias("ids"))
+        return each.withColumn("raw", F.expr("unhex(concat_ws('', transform(x, y -> hex(y.ids))))")).select("rank", "doc_id", "start", ids("raw", "n_tokens").alias("ids"))
 
 
 _POLY = np.uint32(0xEDB88320)
