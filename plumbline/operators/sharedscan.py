@@ -30,6 +30,10 @@ def by_index(df: DataFrame, queries: DataFrame) -> DataFrame:
     return df.select("*", values).select(*df.columns, "x.*").join(queries, ["attribute", "constant"]).select("query", *df.columns)
 
 
-def clock_order(df: DataFrame, position: str, n: int, start: int) -> DataFrame:
-    """The step at which a cyclic scan that a query joins at `start` reads each row."""
-    return df.withColumn("step", F.pmod(F.col(position) - start, F.lit(n)).cast("long"))
+def clock_scan(df: DataFrame, position: str, size: DataFrame, queries: DataFrame) -> DataFrame:
+    """query, step and the columns of df: when a cyclic scan over positions 0 .. n - 1 shows each row to queries(query, joined), that join it at some position.
+
+    size is one row with n. Queries are few and travel to the rows, which are read once.
+    """
+    met = df.join(F.broadcast(size)).join(F.broadcast(queries))
+    return met.withColumn("step", F.pmod(F.col(position) - F.pmod("joined", "n"), F.col("n")).cast("long")).drop("n", "joined")

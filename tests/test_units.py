@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import z_decode, z_encode, z_text
-from plumbline.operators import mvcc, predicates, relational, resultdb, storage
+from plumbline.operators import indexes, mvcc, predicates, relational, resultdb, sorting, storage
 from plumbline.plans import joinorder
-from plumbline.plans.catalog import Prepared, explain
+from plumbline.plans.catalog import Prepared, explain, generated_code, show
 from plumbline.registry import _CARDS
 
 
@@ -112,10 +112,128 @@ def test_z_codes(spark):
     assert tuple(row) == ("000110", 2, 1)
 
 
-def test_positions_across_buckets(spark):
-    df = spark.createDataFrame([(v,) for v in (5, 1, 1, 9, 30, 30, 12)], "v int")
-    got = relational.position(df, "v", F.floor(F.col("v") / 10)).collect()
-    assert sorted((r.v, r.pos) for r in got) == [(1, 0), (1, 0), (5, 2), (9, 3), (12, 4), (30, 5), (30, 5)]
+def test_positions_across_ranges(spark):
+    values = [5, 1, 1, 9, 30, 30, 12, *range(100, 400, 3)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, v int").repartition(5)
+    got = {r.i: r.pos for r in relational.lower_bound(df, "v").collect()}
+    assert got == {-1: 0} | {i: 1 + sum(w < v for w in values) for i, v in enumerate(values)}
+    got = [r.i for r in sorting.ranked(df, F.col("v"), F.col("i")).orderBy("rank").collect()]
+    assert got == [-1, *sorted(range(len(values)), key=lambda i: (values[i], i))]
+    assert relational.position(df.limit(0), F.col("i")).count() == 0
+
+
+def test_merges_take_just_enough_runs():
+    assert sorting.merges([5], 1000, 10) == [] and sorting.merges([3, 1, 2], 1000, 3) == [((1, 2, 0), 6)]
+    # Four runs, three at a time: two first, so that three are left.
+    assert sorting.merges([4, 4, 4, 4], 1000, 3) == [((0, 1), 8), ((2, 3, 4), 16)]
+    for n in range(1, 40):
+        for fan_in in (2, 3, 10):
+            done = sorting.merges([7] * n, 1000, fan_in)
+            assert not done or done[-1][1] == 7 * n and max(len(m) for m, _ in done) <= fan_in and (n <= fan_in or len(done[-1][0]) == fan_in)
+    for bad in ({"fan_in": 1}, {"memory": 3, "fan_in": 3}):
+        with pytest.raises(ValueError):
+            sorting.merges([1, 2], **bad)
+    assert list(sorting.merge_stream([[1, 4], [2], []], 3)) == [1, 2, 4]
+    with pytest.raises(ValueError):
+        sorting.merge_stream([[1], [2]], 1)
+
+
+def _bits(spark, sets):
+    return spark.createDataFrame([(k, p) for k, own in sets.items() for p in own], "key string, row long")
+
+
+def _words(df):
+    return sorted(map(tuple, df.select("key", "chunk", "kind", "run", "bits").collect()))
+
+
+@pytest.mark.parametrize("n", [1, 7, 50, 700])
+def test_wah_algebra_matches_sets(spark, n):
+    """Results have the right bits, and are the words that compressing them gives."""
+    import random
+
+    rng = random.Random(n)
+    dense = lambda: {p for p in range(n) if rng.random() < rng.choice([0.02, 0.5, 0.98])}
+    stretch = lambda: {p for lo in [rng.randrange(n)] for p in range(lo, rng.randrange(lo, n) + 1)}
+    one, two = ({k: f() | {rng.randrange(n)} for k, f in (("a", dense), ("b", stretch), ("c", stretch))} for _ in range(2))
+    one["only"] = {0}
+    words = [indexes.wah_words(_bits(spark, x), "key", "row", n, 8) for x in (one, two)]
+    for op, f in (("and", set.__and__), ("or", set.__or__), ("xor", set.__xor__)):
+        got = relational.checkpointed(indexes.wah_combine(*words, op, n, 8))
+        want = {k: f(one[k], two[k]) for k in two}
+        assert {tuple(r) for r in indexes.wah_positions(got, n, 8).collect()} == {(k, p) for k, own in want.items() for p in own}
+        some = {k: v for k, v in want.items() if v}
+        assert [w for w in _words(got) if w[0] in some] == _words(indexes.wah_words(_bits(spark, some), "key", "row", n, 8)) or not some
+        ends = {r.key: (r.n_set, r.first, r.last) for r in indexes.wah_ends(got, n, 8).collect()}
+        assert ends == {k: (len(v), min(v), max(v)) for k, v in some.items()}
+    flipped = {k: set(range(n)) - v for k, v in one.items()}
+    back = indexes.wah_not(words[0], n, 8)
+    assert {tuple(r) for r in indexes.wah_positions(back, n, 8).collect()} == {(k, p) for k, v in flipped.items() for p in v}
+    assert _words(indexes.wah_not(back, n, 8)) == _words(words[0])
+
+
+def test_bloom_grows_with_its_keys(spark):
+    assert [indexes.bloom_bits(n) for n in (0, 1, 1000, 10**12)] == [1 << 10, 1 << 10, 1 << 14, indexes.MOST_BITS]
+    keys = spark.range(0, 20_000, 2).withColumnRenamed("id", "k")
+    bits = indexes.bloom_bits(10_000)
+    k = indexes.bloom_shape(10_000, bits)
+    got = indexes.maybe_in(spark.range(20_000).withColumnRenamed("id", "k"), "k", indexes.bloom_filter(keys, "k", bits, k), bits, k)
+    assert got.where("k % 2 = 0").count() == 10_000 and got.where("k % 2 = 1").count() < 500
+
+
+def test_leaves_prune_and_hold_their_invariants(spark, tmp_path):
+    df = spark.range(5_000).selectExpr("id * 7 % 5003 as k", "id as v", "0 as seq")
+    leaves = indexes.Leaves.build(df, "k", str(tmp_path / "a"), 4)
+    assert leaves.invariants().first() == (True, True, 5_000) and leaves.nodes().count() == 4
+    assert "PushedFilters: [IsNotNull(k), EqualTo(k,77)]" in explain(leaves.get(77)) and leaves.get(77).count() == 1
+    more = spark.createDataFrame([(77, -1, 1), (99_999, -2, 1)], "k long, v long, seq int")
+    new = leaves.put(more, "seq", str(tmp_path / "b"))
+    assert new.invariants().first() == (True, True, 5_001) and new.get(77).first().v == -1 and [r.v for r in new.range(5_003, 10**6).collect()] == [-2]
+    spark.createDataFrame([(9,), (3,)], "k long").coalesce(1).write.parquet(str(tmp_path / "c"))
+    broken = indexes.Leaves(spark, str(tmp_path / "c"), "k", "k long")
+    assert broken.invariants().first() == (False, True, 2)
+
+
+def test_tries_route_keys_that_fit(spark):
+    df = spark.createDataFrame([(0,), (5,), (26,), (None,)], "k long")
+    t = indexes.RadixTrie(3, 3)
+    assert sorted(map(tuple, t.route(df, "k").collect()), key=str) == sorted([(0, 0, 0, 0), (5, 0, 1, 2), (26, 2, 2, 2), (None, None, None, None)], key=str)
+    with pytest.raises(Exception, match="doesn't fit"):
+        t.route(spark.createDataFrame([(27,)], "k long"), "k").collect()
+    mapped = indexes.RadixTrie(2, 1, lambda c: F.length(c) % 2)
+    words = mapped.route(spark.createDataFrame([("a",), ("bb",), ("a",), ("ccc",)], "w string"), "w")
+    assert mapped.get(words, "w", "a").count() == 2
+    with pytest.raises(ValueError):
+        indexes.RadixTrie(1, 3)
+
+
+def test_layer_sizes():
+    assert indexes.layer_sizes(1, 10) == [10] and indexes.layer_sizes(3, 5) == [1, 3, 5]
+    for layers, models in ((2, 100), (3, 12), (3, 1_000), (5, 77)):
+        sizes = indexes.layer_sizes(layers, models)
+        assert sizes[0] == 1 and sum(sizes) == models and sizes == sorted(sizes)
+
+
+def test_prepared_clauses_are_bound_as_values(spark):
+    p = Prepared(spark)
+    i = p.prepare_clause("name = :n or k > :k", ("n", "k"))
+    df = spark.createDataFrame([("it's", 1), ("x' or '1'='1", 2), ("y", 9)], "name string, k int")
+    for value, n in (("it's", 2), ("x' or '1'='1", 2), ("none", 1), (None, 1)):
+        assert df.where(p.clauses({"q": (i, {"n": value, "k": 5})})["q"]).count() == n
+    for bad in ((99, {}), (i, {"n": 1})):
+        with pytest.raises(ValueError):
+            p.clauses({"q": bad})
+
+
+def test_shown_rows_and_generated_code(spark):
+    told = []
+    df = spark.range(3)
+    assert show(df, told.append, 2) is df and told == ["id", "0", "1"]
+    assert "WholeStageCodegen" in generated_code(df.where("id > 1"))
+
+
+def test_nested_loops_of_large_tables_are_refused(spark):
+    with pytest.raises(ValueError):
+        relational.nested_loop(spark.range(5), spark.range(1 << 40), F.lit(True))
 
 
 def test_store_lost_update_and_write_skew():
