@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import bounded_batches, mix
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -103,14 +103,17 @@ class Model:
 def fit(docs: DataFrame, max_rows: int = 50_000, smoothing: float = 0.5) -> Model:
     """Learns from text and lang of docs where both are given.
 
-    At most about max_rows rows, chosen by a hash of doc_id, are counted (all of them where there are fewer): a documented
+    At most about max_rows rows, chosen by a hash of id and text, are counted (all of them where there are fewer): a documented
     bound, so that fitting costs the same at any size. Counting is distributed; the driver gets one row per label and bucket.
     Texts without letters add nothing. No rows give a model without labels.
     """
     rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    most = MODEL_BYTES // (4 * BUCKETS)
+    if rows.select("lang").distinct().limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} labels make a model that is too large to broadcast; use fewer buckets")
     total = rows.select("lang").count()
     if total > max_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(77)), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
+        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(77)), F.lit(1 << 30)) < int((1 << 30) * max_rows / total))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -129,12 +132,10 @@ def fit(docs: DataFrame, max_rows: int = 50_000, smoothing: float = 0.5) -> Mode
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_pydict({"lang": [x] * (len(at) + 1), "bucket": np.r_[-1, at].astype(np.int32), "n": np.r_[n[x], c[at]]})
 
-    got = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = bounded_batches(rows).select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     labels = sorted(got.lang.unique())
     if not labels:
         return Model([], np.zeros(0), np.zeros((BUCKETS, 0), np.float32))
-    if len(labels) * BUCKETS * 4 > MODEL_BYTES:
-        raise ValueError(f"{len(labels)} labels make a model that is too large to broadcast; use fewer buckets")
     counts = np.zeros((BUCKETS + 1, len(labels)))
     counts[got.bucket.to_numpy() + 1, np.searchsorted(labels, got.lang.to_numpy().astype(str))] = got.n.to_numpy()
     docs_of, c = counts[0], counts[1:] + smoothing
@@ -155,5 +156,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             label, p = sent.value.predict([x if isinstance(x, str) else None for x in t])
             yield pd.DataFrame({"lang_pred": label, "score": p})
 
-    out = docs.withColumn("__guess", guess(F.col(text)))
+    out = bounded_batches(docs).withColumn("__guess", guess(F.col(text)))
     return out.withColumns({"lang_pred": F.col("__guess.lang_pred"), "score": F.col("__guess.score")}).drop("__guess")

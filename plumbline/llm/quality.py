@@ -68,7 +68,7 @@ def statistics(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray
         share = np.column_stack([
             _share(_sums(symbol, s, e), e - s),
             _share(upper, upper + _sums((raw >= 97) & (raw <= 122), s, e)),
-            _share(_sums(same, ws, we), n - 1),
+            _share(_sums(same, np.minimum(ws + 1, we), we), n - 1),  # a text's first word has none before it
             cycles,
             _share(_sums(doubled, ws, we), n),
             _share(_sums(lone, ws, we), n),
@@ -176,12 +176,12 @@ def fit(docs: DataFrame, sample_rows: int = 4_000) -> tuple[Scorer, LabelModel]:
     """The scorer and the label model of docs(doc_id, text).
 
     Votes are counted over all texts; the label model needs only the count of each vote pattern (at most 3^7). The scorer is
-    trained on posterior labels of a sample of about sample_rows texts, chosen by a hash of doc_id: a documented bound on what
-    reaches the driver. Null and blank texts are left out. Without texts every non-blank text is good.
+    trained on posterior labels of a sample of about sample_rows texts, chosen by a hash of id and text, and of twice as many at
+    most: a documented bound on what reaches the driver. Null and blank texts are left out. Without texts every non-blank text is good.
     """
     rows = docs.where("text is not null").select("doc_id", "text")
     rate = int((1 << 30) * min(1.0, sample_rows / max(1, docs.select("doc_id").count())))
-    rows = rows.select("text", (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) < rate).alias("chosen"))
+    rows = rows.select("text", (F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(5)), F.lit(1 << 30)) < rate).alias("chosen"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(3 ** len(LABELLERS), np.int64)
@@ -207,7 +207,8 @@ def fit(docs: DataFrame, sample_rows: int = 4_000) -> tuple[Scorer, LabelModel]:
 
     got = materialise(rows.mapInArrow(vote, "code int, n long, at binary, value binary"), "votes")
     patterns = got.where("n is not null").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
-    sample = got.where("n is null").select("code", "at", "value").toPandas().sort_values(["code", "at", "value"])
+    # Copies of one row share their hash, so the sample is bounded by number as well.
+    sample = got.where("n is null").select("code", "at", "value").orderBy(F.xxhash64("at", "value"), "code").limit(2 * sample_rows).toPandas().sort_values(["code", "at", "value"])
     discard(got)
 
     def decode(code: pd.Series) -> np.ndarray:
