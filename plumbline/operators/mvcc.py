@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,6 +72,23 @@ def read_conflicts(tas: DataFrame, log: DataFrame, clause: Callable[[Column], Co
     return one.join(two, "bin").where(hit).select("reader", "writer", "object_id")
 
 
+def write_skew(reads: DataFrame, writes: DataFrame, span: int) -> DataFrame:
+    """one, two: overlapping transactions of which each reads what the other writes, while they write no object in common.
+
+    reads and writes have ta, begin, commit, object_id. Partners are found by time bins and objects, never as all pairs.
+    """
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        bins = _bins(span)
+        a = x.dropDuplicates(["ta", "object_id"]).select(F.col("ta").alias("a"), F.col("begin").alias("ab"), F.col("commit").alias("ac"), "object_id", bins)
+        b = y.dropDuplicates(["ta", "object_id"]).select(F.col("ta").alias("b"), F.col("begin").alias("bb"), F.col("commit").alias("bc"), "object_id", bins)
+        both = a.join(b, ["object_id", "bin"]).where((F.col("a") != F.col("b")) & (F.least("ac", "bc") > F.greatest("ab", "bb")))
+        return both.select("a", "b").distinct()
+
+    cross = meet(reads, writes)
+    pairs = cross.where("a < b").join(cross.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi")
+    return pairs.join(meet(writes, writes), ["a", "b"], "left_anti").select(F.col("a").alias("one"), F.col("b").alias("two"))
+
+
 def same_result(log: DataFrame, clause: Column, begin, commit) -> DataFrame:
     """same: whether a read of the clause gives at commit what it gave at begin; by order-independent digests of both snapshots."""
 
@@ -120,23 +138,89 @@ class _Transaction:
 
 
 class Store:
-    """Multi-version objects with transactions; metadata-sized, on the driver. isolation: 'snapshot' or 'serializable'."""
+    """Multi-version objects with transactions; metadata-sized, on the driver.
+
+    isolation: 'serializable', 'snapshot', or 'none', under which only an uncommitted write of the same object stops another and
+    nothing is validated. autocommit: whether put, get, delete and bulkload are transactions of their own at any time; without it
+    they load and look at objects before the first transaction. index: attributes whose equality reads go through an index, which
+    gives candidates, of which the snapshot decides.
+    """
 
-    def __init__(self, isolation: str = "serializable"):
-        self.isolation, self.clock = isolation, 1
+    def __init__(self, isolation: str = "serializable", autocommit: bool = False, index: tuple[str, ...] = ()):
+        if isolation not in ("serializable", "snapshot", "none"):
+            raise ValueError(f"unknown isolation {isolation!r}")
+        self.isolation, self.clock, self.autocommit = isolation, 1, autocommit
         self.versions: dict[str, list[tuple[int, dict | None]]] = {}
         self.active: dict[int, _Transaction] = {}
         self.journal: list[tuple] = []
+        self.index: dict[str, dict[object, set[str]]] = {a: {} for a in index}
+
+    def _keep(self, key: str, at: int, value: dict | None) -> None:
+        self.versions.setdefault(key, []).append((at, value))
+        for a, entries in self.index.items():
+            if value is not None and a in value:
+                entries.setdefault(value[a], set()).add(key)
+
+    def _alone(self, work):
+        """Runs work(ta) as a transaction of its own, which is rolled back as a whole where it fails."""
+        ta = self.begin()
+        try:
+            out = work(ta)
+            self.commit(ta)
+            return out
+        except Exception:
+            if ta in self.active:
+                self.abort(ta)
+            raise
+
+    def _loading(self, what: str) -> None:
+        if self.clock > 1:
+            raise RuntimeError(f"without autocommit, {what} comes before the first transaction")
+
+    def put(self, key: str, value: dict) -> None:
+        if self.autocommit:
+            self._alone(lambda ta: self.update(ta, key, value))
+        else:
+            self.load({key: value})
+
+    def bulkload(self, objects: dict[str, dict]) -> None:
+        """All of them or none."""
+        if self.autocommit:
+            self._alone(lambda ta: [self.update(ta, k, v) for k, v in objects.items()])
+        else:
+            self.load(objects)
+
+    def get(self, key: str) -> dict | None:
+        if not self.autocommit:
+            self._loading("get")
+            return self._seen(key, self.clock)
+        return self._alone(lambda ta: self.read(ta).get(key))
+
+    def remove(self, key: str) -> None:
+        if not self.autocommit:
+            raise RuntimeError("without autocommit, objects are deleted by transactions only")
+        self._alone(lambda ta: self.delete(ta, key))
+
+    def load(self, objects: dict[str, dict]) -> None:
+        self._loading("load")
+        for k, v in objects.items():
+            self._keep(k, 0, dict(v))
+
+    def lookup(self, ta: int, attribute: str, value) -> dict[str, dict]:
+        """The objects whose attribute is value, in order of their keys as texts: through the index where there is one."""
+        t = self.active[ta]
+        clause = lambda v: v.get(attribute) == value
+        if attribute not in self.index:
+            return self.read(ta, clause)
+        t.reads.append(clause)
+        near = {*self.index[attribute].get(value, ()), *t.writes}
+        now = {k: t.writes[k] if k in t.writes else self._seen(k, t.begin) for k in sorted(near, key=str)}
+        return {k: v for k, v in now.items() if v is not None and clause(v)}
 
     def _tick(self) -> int:
         self.clock += 1
         return self.clock - 1
 
-    def load(self, objects: dict[str, dict]) -> None:
-        if self.clock > 1:
-            raise RuntimeError("objects are loaded before the first transaction")
-        self.versions |= {k: [(0, dict(v))] for k, v in objects.items()}
-
     def begin(self) -> int:
         ta = self._tick()
         self.active[ta] = _Transaction(ta)
@@ -179,7 +263,7 @@ class Store:
                             self.abort(ta)
                             raise Aborted(f"{ta}: {key} changed under a read")
         for key, value in t.writes.items():
-            self.versions.setdefault(key, []).append((at, value))
+            self._keep(key, at, value)
         del self.active[ta]
         self.journal.append(("commit", ta, at))
         return at
@@ -187,3 +271,81 @@ class Store:
     def abort(self, ta: int) -> None:
         del self.active[ta]
         self.journal.append(("abort", ta))
+
+
+Step = tuple[int, str, tuple]  # transaction, operation (read, update, delete, commit, abort) and its arguments
+
+
+@dataclass
+class Run:
+    """What came of a schedule: each transaction's reads in their order, what it wrote, when it was serialised, and the last state."""
+
+    reads: dict[int, list[dict[str, dict]]]
+    steps: dict[int, list[Step]]
+    points: dict[int, int]
+    state: dict[str, dict]
+    aborted: set[int]
+
+
+def run_schedule(initial: dict[str, dict], schedule: list[Step], isolation: str = "serializable") -> Run:
+    """Runs a schedule on a fresh store. Transactions begin at their first step; steps after an abort are left out."""
+    s = Store(isolation)
+    s.load(initial)
+    tas: dict[int, int] = {}
+    out = Run({}, {}, {}, {}, set())
+    for t, what, args in schedule:
+        if t in out.aborted:
+            continue
+        if t not in tas:
+            tas[t] = s.begin()
+            out.reads[t], out.steps[t] = [], []
+        try:
+            if what == "read":
+                out.reads[t].append(s.read(tas[t], *args))
+            elif what == "abort":
+                s.abort(tas[t])
+                out.aborted.add(t)
+            elif what == "commit":
+                wrote = bool(s.active[tas[t]].writes)
+                at = s.commit(tas[t])
+                out.points[t] = at if wrote else tas[t]
+            else:
+                getattr(s, what)(tas[t], *(a(out.reads[t]) if callable(a) else a for a in args))
+            out.steps[t].append((t, what, args))
+        except Aborted:
+            out.aborted.add(t)
+    out.state = {k: v for k in sorted(s.versions) if (v := s._seen(k, s.clock)) is not None}
+    return out
+
+
+def verdict(initial: dict[str, dict], run: Run) -> str:
+    """Whether a run's committed transactions read and left what some serial order of them gives: 'nothing committed', 'serializable',
+    'serializable in another order' than that of their serialization points, or 'not serializable'.
+    """
+    done = sorted(run.points, key=run.points.get)
+    if not done:
+        return "nothing committed"
+    for k, order in enumerate(permutations(done)):  # the first is that of the points
+        again = run_schedule(initial, [step for t in order for step in run.steps[t]])
+        if again.state == run.state and all(again.reads[t] == run.reads[t] for t in done):
+            return "serializable in another order" if k else "serializable"
+    return "not serializable"
+
+
+def _plus(key: str, n: int):
+    """A value computed from the transaction's last read."""
+    return lambda reads: {"v": reads[-1][key]["v"] + n}
+
+
+_ACCOUNTS = {"x": {"v": 50}, "y": {"v": 50}}
+_HIGH = lambda v: v["v"] > 40
+#: name -> (objects, schedule): what may go wrong when transactions overlap.
+SCENARIOS: dict[str, tuple[dict[str, dict], list[Step]]] = {
+    "serial": (_ACCOUNTS, [(1, "read", ()), (1, "update", ("x", _plus("x", 1))), (1, "commit", ()), (2, "read", ()), (2, "update", ("x", _plus("x", 1))), (2, "commit", ())]),
+    "lost update": (_ACCOUNTS, [(1, "read", ()), (2, "read", ()), (1, "update", ("x", _plus("x", 1))), (1, "commit", ()), (2, "update", ("x", _plus("x", 5))), (2, "commit", ())]),
+    "dirty write": (_ACCOUNTS, [(1, "read", ()), (2, "read", ()), (1, "update", ("x", _plus("x", 1))), (2, "update", ("x", _plus("x", 5))), (1, "commit", ()), (2, "commit", ())]),
+    "write skew": (_ACCOUNTS, [(1, "read", ()), (2, "read", ()), (1, "update", ("x", _plus("y", -90))), (2, "update", ("y", _plus("x", -90))), (1, "commit", ()), (2, "commit", ())]),
+    "phantom": (_ACCOUNTS, [(1, "read", (_HIGH,)), (2, "update", ("z", {"v": 60})), (2, "commit", ()), (1, "update", ("n", lambda reads: {"v": len(reads[-1])})), (1, "commit", ())]),
+    "read-only": (_ACCOUNTS, [(1, "read", ()), (2, "update", ("x", {"v": 7})), (2, "commit", ()), (1, "read", ()), (1, "commit", ())]),
+    "own abort": (_ACCOUNTS, [(1, "update", ("x", {"v": 7})), (1, "abort", ()), (2, "read", ()), (2, "delete", ("y",)), (2, "commit", ())]),
+}

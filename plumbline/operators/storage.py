@@ -163,9 +163,29 @@ class Layer:
     def unfix(self, key) -> None:
         self.fixed.discard(key)
 
+    def evict(self):
+        """Drops the largest key that isn't fixed, and gives it; its value is below already."""
+        free = [k for k in self.pages if k not in self.fixed]
+        if not free:
+            raise RuntimeError("all pages are fixed")
+        gone = max(free)
+        del self.pages[gone]
+        return gone
+
+    def delete(self, key) -> None:
+        """From here and from below; a fixed key stays and is an error."""
+        if key in self.fixed:
+            raise RuntimeError("a fixed page can't be deleted")
+        self.pages.pop(key, None)
+        if isinstance(self.below, dict):
+            del self.below[key]
+        else:
+            self.below.delete(key)
+
+    @property
+    def size(self) -> int:
+        return len(self.pages)
+
     def _room(self) -> None:
         if len(self.pages) >= self.capacity:
-            free = [k for k in self.pages if k not in self.fixed]
-            if not free:
-                raise RuntimeError("all pages are fixed")
-            del self.pages[max(free)]
+            self.evict()

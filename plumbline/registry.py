@@ -866,15 +866,28 @@ def mvcc_validate_bruteforce(spark, d):
     return mvcc.same_result(_log(spark, d), F.col("value") > 10, then, now)
 
 
-@query("select 1::bigint as one, 2::bigint as two")
+@query(f"""with r as (select distinct ta, object_id from ({_LOG}) where value > 50), w as (select distinct ta, object_id from ({_LOG}) where value <= 50),
+x as (select distinct r.ta, w.ta as writer from r join w on r.object_id = w.object_id and r.ta <> w.ta join ({_TAS}) a on a.ta = r.ta join ({_TAS}) b on b.ta = w.ta
+where least(a.commit_, b.commit_) > greatest(a.begin_, b.begin_))
+select p.ta as one, p.writer as two from x p join x q on p.ta = q.writer and p.writer = q.ta and p.ta < p.writer
+where not exists (select 1 from w a join w b on a.object_id = b.object_id where a.ta = p.ta and b.ta = p.writer)""")
 def mvcc_write_skew(spark, d):
-    reads = relation(spark, [(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "z")], "ta long, object_id string")
-    writes = relation(spark, [(1, "x"), (2, "y"), (3, "z")], "ta long, object_id string")
-    cross = reads.join(writes.withColumnRenamed("ta", "writer"), "object_id").where("ta <> writer").select("ta", "writer").distinct()
-    both = cross.alias("p").join(cross.alias("q"), (F.col("p.ta") == F.col("q.writer")) & (F.col("p.writer") == F.col("q.ta")) & (F.col("p.ta") < F.col("p.writer")))
-    pairs = both.select(F.col("p.ta").alias("one"), F.col("p.writer").alias("two"))
-    shared = writes.withColumnRenamed("ta", "one").join(writes.withColumnRenamed("ta", "two"), "object_id").select("one", "two")
-    return pairs.join(shared, ["one", "two"], "left_anti")
+    """Overlapping transactions that read what the other writes and write nothing in common; high values count as reads."""
+    log = _log(spark, d).join(_tas(spark, d), "ta")
+    return mvcc.write_skew(log.where("value > 50"), log.where("value <= 50"), _SPAN)
+
+
+_VERDICTS = {
+    "serial": ("serializable", "serializable", "serializable"), "lost update": ("serializable", "serializable", "not serializable"), "dirty write": ("serializable", "serializable", "serializable"),
+    "write skew": ("serializable", "not serializable", "not serializable"), "phantom": ("serializable", "serializable in another order", "serializable in another order"),
+    "read-only": ("serializable", "serializable", "serializable"), "own abort": ("serializable", "serializable", "serializable"),
+}
+
+
+@query(" union all ".join(f"select '{n}' as scenario, '{i}' as isolation, '{v}' as verdict" for n, x in _VERDICTS.items() for i, v in zip(("serializable", "snapshot", "none"), x)))
+def mvcc_scenarios(spark, d):
+    rows = [(n, i, mvcc.verdict(objects, mvcc.run_schedule(objects, schedule, i))) for n, (objects, schedule) in mvcc.SCENARIOS.items() for i in ("serializable", "snapshot", "none")]
+    return relation(spark, rows, "scenario string, isolation string, verdict string")
 
 
 @query("""with c as (select event_id // 5 as ta, max(event_id) + 1 as at from events group by 1 having count(*) = 5 and max(value) < 60)
@@ -945,14 +958,19 @@ def raid_survival_counts(spark, d):
     return storage.survivable_masks(spark, 5, 6)
 
 
-@query("""select * from (values ('RAID 10', 1::bigint, 6::bigint, 6::bigint), ('RAID 10', 2, 12, 15), ('RAID 10', 3, 8, 20), ('RAID 50', 1, 6, 6), ('RAID 50', 2, 9, 15), ('RAID 50', 3, 0, 20))
-t(config, failed, survived, cases)""")
+#: RAID over RAID of three groups of two or two of three, by masks of failed disks: how many groups have lost more than they may.
+_NESTED_SQL = """with m as (select unnest(range(64)) as m), c as (select * from (values ('RAID 10', 3, 2, 1, 0), ('RAID 50', 2, 3, 1, 0), ('RAID 01', 2, 3, 0, 1), ('RAID 51', 2, 3, 1, 1)) t(config, groups, width, inner_, outer_)),
+g as (select config, m, outer_, (select count(*) from range(groups) r(i) where bit_count((m >> (i * width)::int) & ((1 << width) - 1)) > inner_) as dead from m, c)
+select config, bit_count(m)::bigint as failed, count_if(dead <= outer_) as survived, count(*) as cases from g where bit_count(m) between 1 and 4 group by 1, 2"""
+
+
+@query(_NESTED_SQL)
 def raid_config_metrics(spark, d):
-    def two(level, outer, inner):
-        return storage.Array(0, tuple(storage.Array(level, tuple(storage.Device(f"{i}.{j}", 250, 200, 100, 80) for j in range(inner))) for i in range(outer)))
+    def two(top, level, outer, inner):
+        return storage.Array(top, tuple(storage.Array(level, tuple(storage.Device(f"{i}.{j}", 250, 200, 100, 80) for j in range(inner))) for i in range(outer)))
 
-    arrays = {"RAID 10": two(1, 3, 2), "RAID 50": two(5, 2, 3)}
-    return relation(spark, [(n, k, *a.survived(k)) for n, a in arrays.items() for k in (1, 2, 3)], "config string, failed long, survived long, cases long")
+    arrays = {"RAID 10": two(0, 1, 3, 2), "RAID 50": two(0, 5, 2, 3), "RAID 01": two(1, 0, 2, 3), "RAID 51": two(1, 5, 2, 3)}
+    return relation(spark, [(n, k, *a.survived(k)) for n, a in arrays.items() for k in (1, 2, 3, 4)], "config string, failed long, survived long, cases long")
 
 
 @query(f"with l as ({_RAID_SQL[5]}), m as (select row, count(distinct disk) as missing from l where disk in (0, 1) group by row) "

@@ -283,6 +283,77 @@ def test_store_runs_are_serializable():
         assert final in ([{"x": 3, "y": 5}, {"x": 4, "y": 3}] if len(done) == 2 else [serial[frozenset(done)]])
 
 
+def test_store_with_autocommit_and_index():
+    s = mvcc.Store(autocommit=True, index=("v",))
+    s.bulkload({"a": {"v": 1}, "b": {"v": 2}})
+    s.put("c", {"v": 1})
+    assert s.get("a") == {"v": 1} and s.get("none") is None
+    ta = s.begin()
+    s.update(ta, "a", {"v": 9})
+    with pytest.raises(mvcc.Aborted):
+        s.bulkload({"d": {"v": 1}, "a": {"v": 3}})  # all or nothing
+    assert s.get("d") is None and s.lookup(ta, "v", 1) == {"c": {"v": 1}} and s.lookup(ta, "v", 9) == {"a": {"v": 9}}
+    old = s.begin()
+    s.commit(ta)
+    assert set(s.lookup(old, "v", 1)) == {"a", "c"} and s.lookup(old, "v", 9) == {}
+    s.remove("c")
+    assert s.get("c") is None and set(s.lookup(s.begin(), "v", 1)) == set()
+    plain = mvcc.Store()
+    plain.put("a", {"v": 1})
+    assert plain.get("a") == {"v": 1}
+    with pytest.raises(RuntimeError):
+        plain.remove("a")
+    plain.begin()
+    for late in (lambda: plain.put("b", {}), lambda: plain.get("a"), lambda: plain.bulkload({})):
+        with pytest.raises(RuntimeError):
+            late()
+    with pytest.raises(ValueError):
+        mvcc.Store("dirty")
+
+
+def test_indexed_reads_are_the_scans():
+    import random
+
+    rng = random.Random(3)
+    stores = [mvcc.Store(index=x) for x in ((), ("v",))]
+    for s in stores:
+        s.load({str(k): {"v": k % 3} for k in range(12)})
+    for _ in range(60):
+        key, v, drop = str(rng.randrange(12)), rng.randrange(3), rng.random() < 0.2
+        got = []
+        for s in stores:
+            ta = s.begin()
+            s.delete(ta, key) if drop else s.update(ta, key, {"v": v})
+            got.append([s.lookup(ta, "v", x) for x in range(3)])
+            s.commit(ta)
+        assert got[0] == got[1]
+
+
+def test_no_schedule_of_two_validated_transactions_is_unserializable():
+    bodies = {0: [("read", ()), ("update", ("x", mvcc._plus("y", 1))), ("commit", ())], 1: [("read", ()), ("update", ("y", mvcc._plus("x", 1))), ("commit", ())]}
+    found = set()
+    for order in mvcc.interleavings([3, 3]):
+        at = {0: iter(bodies[0]), 1: iter(bodies[1])}
+        schedule = [(t, *next(at[t])) for t in order]
+        objects = {"x": {"v": 1}, "y": {"v": 5}}
+        assert mvcc.verdict(objects, mvcc.run_schedule(objects, schedule)).startswith("serializable")
+        found.add(mvcc.verdict(objects, mvcc.run_schedule(objects, schedule, "none")))
+    assert "not serializable" in found
+
+
+def test_layers_evict_and_delete():
+    disk = {i: str(i) for i in range(5)}
+    layer = storage.Layer(disk, 3)
+    layer.fix(4), layer.get(0), layer.get(2)
+    assert layer.size == 3 and layer.evict() == 2 and layer.evict() == 0
+    with pytest.raises(RuntimeError):
+        layer.evict()
+    with pytest.raises(RuntimeError):
+        layer.delete(4)
+    layer.unfix(4), layer.delete(4)
+    assert layer.size == 0 and set(disk) == {0, 1, 2, 3}
+
+
 def test_layers_and_nesting():
     disk = {i: str(i) for i in range(5)}
     layer = storage.Layer(disk, 2)
