@@ -210,4 +210,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs without those in which a window of the benchmark occurs; columns as they were, clashing names too. Null texts stay."""
-    return scan(docs.withColumn("__row", F.struct(*docs.columns)), benchmark, size).where("n_hit = 0").select("__row.*")
+    others = [c for c in docs.columns if c != "text"]
+    found = scan(docs.select("text", F.struct(F.lit(0), *others).alias("__row")), benchmark, size)
+    return found.where("n_hit = 0").select("text", *[F.col("__row")[c].alias(c) for c in others]).select(*docs.columns)
