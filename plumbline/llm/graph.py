@@ -51,12 +51,14 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder; the number of rounds grows with the logarithm of a component's size. Only a count and a
     checksum reach the driver. Once at most LOCAL_EDGES edges are left, one task ends the work.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
-    e, seen = materialise(e, "edges"), None
+    e = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    if e.count() <= LOCAL_EDGES:  # edges are usually a stored table, so this is a cheap scan
+        return materialise(e.repartition(1).mapInArrow(_union_find, "id long, component long"), "components")
+    e, seen = materialise(e.distinct(), "edges"), None
     while True:
         row = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row[0] <= LOCAL_EDGES:
-            out = materialise(e.coalesce(1).mapInArrow(_union_find, "id long, component long"), "components")
+            out = materialise(e.repartition(1).mapInArrow(_union_find, "id long, component long"), "components")
             discard(e)
             return out
         if tuple(row) == seen:

@@ -214,9 +214,9 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     while True:
         label, before = components(links), left
         left = _open(member, label, classes, turn)
-        discard(label, *([before] if before else []))
+        discard(*([before] if before else []))
         if left.isEmpty():
-            discard(left, buckets)
+            discard(left, buckets, label)
             return links
         hub = left.where("is_hub").select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"), F.col("marks").alias("ma"))
         rest = left.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"), F.col("marks").alias("mb"), F.col("is_hub").alias("hb"))
@@ -224,10 +224,11 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
             sets = _shingled(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), docs)
+            # Of the links so far only which component a class is in is carried on: a row a class, however many links there are.
             new, old = _matching(pairs, sets, percent), links
-            links = materialise(old.unionByName(new), "links")
+            links = materialise(label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(new), "links")
             discard(sets, new, old)
-        discard(pairs)
+        discard(pairs, label)
         member, turn = left.where("not is_hub").select("key", "rep"), turn + 1
 
 
