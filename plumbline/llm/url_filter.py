@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_or_shuffled
+from .common import discard, materialise, small_or_shuffled
 
 #: (action, host, path prefix)
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -125,14 +125,20 @@ def reputation(outcomes: DataFrame, hosts: DataFrame | None = None, threshold: f
         counted = counted.unionByName(hosts.where("host is not null").select("host", none.alias("n"), none.alias("bad")))
     domain, suffix = levels(F.col("host"))
     host = counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumns({"domain": domain, "suffix": suffix})
+    # Each level is read twice, for its strength and for its posteriors, so it is stored: a row a host, domain or suffix.
+    host = materialise(host, "hosts")
     by = {k: host.groupBy(k).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")) for k in ("suffix", "domain")}
     # The mean of all is kept from 0 and 1, where a beta distribution has no width.
     whole = host.agg(F.coalesce((F.sum("bad") + 0.5) / (F.sum("n") + 1.0), F.lit(0.5)).alias("mean"), F.coalesce(F.sum("n") + 1.0, F.lit(1.0)).alias("weight"))
-    top = _drawn(by["suffix"].join(F.broadcast(whole))).select("suffix", "mean", "weight")
-    mid = _drawn(by["domain"].withColumn("suffix", levels(F.col("domain"))[1]).join(top, "suffix")).select("domain", "mean", "weight")
-    out = _drawn(host.join(mid, "domain"))
-    any_ = known.agg((F.count("*") > 0).alias("any"))
-    return out.join(F.broadcast(any_)).select("host", "n", "bad", F.col("mean").alias("rate"), F.when(F.col("any"), above(F.col("alpha"), F.col("beta"), threshold)).otherwise(0.0).alias("sure"))
+    top = materialise(by["suffix"].join(F.broadcast(whole)), "suffixes")
+    mid = by["domain"].withColumn("suffix", levels(F.col("domain"))[1]).join(_drawn(top).select("suffix", "mean", "weight"), "suffix")
+    mid = materialise(mid, "domains")
+    low = materialise(host.join(_drawn(mid).select("domain", "mean", "weight"), "domain"), "priors")
+    any_ = host.agg((F.coalesce(F.sum("n"), F.lit(0)) > 0).alias("any"))
+    out = _drawn(low).join(F.broadcast(any_)).select("host", "n", "bad", F.col("mean").alias("rate"), F.when(F.col("any"), above(F.col("alpha"), F.col("beta"), threshold)).otherwise(0.0).alias("sure"))
+    out = materialise(out, "reputation")
+    discard(host, top, mid, low)
+    return out
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHOLD, sure: float = SURE, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -146,7 +152,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHOLD, s
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "sure", "verdict")]
     split = pages.select(*keep, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    known = materialise(reputation(outcomes, split.select("host").where("host <> ''"), threshold).select("host", "sure"), "reputation")
+    known = reputation(outcomes, split.select("host").where("host <> ''"), threshold).select("host", "sure")
     judged = split.withColumns({"rule": rule, "__action": action}).join(small_or_shuffled(known, known.count()), "host", "left")
     verdict = F.coalesce("__action", F.when(F.col("sure") >= sure, F.lit("block")).otherwise(F.lit("allow")))
     return judged.select(*keep, "host", "path", "rule", "sure", verdict.alias("verdict"))
