@@ -348,8 +348,16 @@ class Codec:
     def _ids(self, pieces: list[bytes]) -> np.ndarray:
         return self.bpe.encode_all(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)]))[0].astype(self.kind)
 
-    def _whole(self, text: str) -> np.ndarray:
-        return self._ids([m[0].encode("utf-8", "surrogatepass") for m in self.pattern.finditer(text)])
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts that are matched as they are; the pieces of all are encoded together."""
+        pieces, counts = [], [0]
+        for t in texts:
+            pieces += [m[0].encode("utf-8", "surrogatepass") for m in self.pattern.finditer(t)]
+            counts.append(len(pieces))
+        ids, upto = self.bpe.encode_all(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([0, *map(len, pieces)]))
+        at = upto[counts].tolist()
+        ids = ids.astype(self.kind)
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
     def _words(self, words: pa.Array, easy: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words that are plain are parted without matching."""

@@ -73,11 +73,11 @@ class Words:
     apart. Texts where blanks do meet, or all texts where the pattern isn't the usual one, go to `whole` as they are.
 
     `encode` gets distinct new words (large_string), each with its leading blank if it has one, and what plain() says of them; it
-    gives their ids one word after the other and the offsets of each word's. `whole` gives the ids of a text; feed is the line
-    feed's id. The cache takes new words while there is room, and starts anew once it misses too often.
+    gives their ids one word after the other and the offsets of each word's. `whole` gives the ids of each of some texts; feed is the
+    line feed's id. The cache takes new words while there is room, and starts anew once it misses too often.
     """
 
-    def __init__(self, encode: Callable[[pa.Array, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], whole: Callable[[str], np.ndarray], feed: int, kind: np.dtype, usual: bool = True, room: int = CACHE_BYTES):
+    def __init__(self, encode: Callable[[pa.Array, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], whole: Callable[[list[str]], list[np.ndarray]], feed: int, kind: np.dtype, usual: bool = True, room: int = CACHE_BYTES):
         self.encode, self.whole, self.feed, self.kind, self.usual, self.room = encode, whole, feed, np.dtype(kind), usual, room
         self.cache: dict[str, bytes] = {}
         self.held = self.seen = self.missed = 0
@@ -85,7 +85,7 @@ class Words:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts (large_string, no nulls) one after the other, and the offsets of each text's."""
         if not self.usual:
-            return self._joined([self.whole(t) for t in texts.to_pylist()])
+            return self._joined(self.whole(texts.to_pylist()))
         lists = pc.split_pattern(pc.binary_join_element_wise(_FEED, pc.replace_substring(texts, "\n", " \n"), _EMPTY), " ")
         coded, at = lists.values.dictionary_encode(), lists.offsets.to_numpy()
         index = coded.indices.to_numpy()
@@ -97,7 +97,8 @@ class Words:
             own = np.ones(len(ids), bool)
             own[begin - 1] = False
             return ids[own], np.r_[0, np.cumsum(end - begin)]
-        other = {int(i): self.whole(texts[int(i)].as_py()) for i in np.flatnonzero(odd)}
+        places = np.flatnonzero(odd)
+        other = dict(zip(places.tolist(), self.whole(texts.take(pa.array(places)).to_pylist())))
         return self._joined([other[i] if i in other else ids[b:e] for i, (b, e) in enumerate(zip(begin.tolist(), end.tolist()))])
 
     def _joined(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

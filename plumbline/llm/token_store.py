@@ -105,11 +105,14 @@ class Encoder:
             self.model = Tokenizer.from_file(path).model
             self.model._resize_cache(0)  # the cache of words is here
             (self.feed,) = self.library.encode("\n", add_special_tokens=False).ids
-        self.words = Words(self._words, self._ids, self.feed, self.type, usual, room)
+        self.words = Words(self._words, self._whole, self.feed, self.type, usual, room)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
 
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _words(self, words: pa.Array, easy: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data, edge = flat(words)
         cut = np.unique(np.concatenate([edge, mark[easy]]))
