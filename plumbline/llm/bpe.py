@@ -19,6 +19,8 @@ from .pieces import USUAL, Words, flat, gather, plain, work
 PAIRS, SLOTS = 50_000, 1 << 19
 #: Pieces of more bytes are encoded one by one.
 SHORT = 64
+#: Ids whose digits and bytes are worked out at a time, where a batch has more (a very long text).
+MANY = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -378,16 +380,32 @@ class Codec:
         count, told, decoded = [], [], []
         for part in work(texts):
             ids, at = self.words.ids(part)
+            count += np.diff(at).tolist()
+            if len(ids) > MANY:
+                for a, b in zip(at.tolist(), at[1:].tolist()):
+                    one, two = self._digest(ids[a:b])
+                    told.append(one)
+                    decoded.append(two)
+                continue
             raw, upto = self.decode(ids)
             text = self.decimal[ids]
             length = np.r_[0, np.cumsum((text != 0).sum(1))][at].tolist()
             text, raw = memoryview(text[text != 0]), memoryview(raw)
-            count += np.diff(at).tolist()
             told += [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(length, length[1:])]
             cut = upto[at].tolist()
             decoded += [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cut, cut[1:])]
         return count, told, decoded
 
+    def _digest(self, ids: np.ndarray) -> tuple[str, str]:
+        """The two digests of a very long text, MANY ids at a time."""
+        one, two = hashlib.sha256(), hashlib.sha256()
+        for k in range(0, len(ids), MANY):
+            text = self.decimal[ids[k : k + MANY]]
+            text = text[text != 0]
+            one.update(text if k + MANY < len(ids) else text[:-1])
+            two.update(self.decode(ids[k : k + MANY])[0])
+        return one.hexdigest(), two.hexdigest()
+
     def ids(self, texts: pa.Array) -> pa.Array:
         """list<int32> of each text."""
         parts = [self.words.ids(part) for part in work(texts)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,10 @@ CACHE_BYTES, ENTRY_BYTES = 48 << 20, 190
 #: Bytes of text that are worked on at a time, where texts are not longer themselves.
 WORK_BYTES = 2 << 20
 
+#: Characters of a text from which on it is encoded in parts, and where these may begin: at a blank between letters.
+LONG = 4 << 20
+_BLANK_BETWEEN = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK = np.zeros(256, bool)
@@ -65,6 +70,15 @@ def work(texts: pa.Array) -> Iterator[pa.Array]:
         i = j
 
 
+def parts(text: str, size: int) -> Iterator[str]:
+    """text, cut at single blanks into parts of about size characters; a part begins with its blank."""
+    at = 0
+    while len(text) - at > size and (m := _BLANK_BETWEEN.search(text, at + size)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 class Words:
     """Encodes batches of texts by way of their words.
 
@@ -86,6 +100,10 @@ class Words:
         """The ids of texts (large_string, no nulls) one after the other, and the offsets of each text's."""
         if not self.usual:
             return self._joined(self.whole(texts.to_pylist()))
+        if len(texts) == 1 and len(text := texts[0].as_py()) > LONG and len(some := list(parts(text, LONG))) > 1:
+            # A letter before the blank, whose one id goes again, makes a part like a text of its own.
+            ids = [self.ids(pa.array(["a" * bool(k) + x], pa.large_string()))[0][bool(k) :] for k, x in enumerate(some)]
+            return self._joined([np.concatenate(ids)])
         lists = pc.split_pattern(pc.binary_join_element_wise(_FEED, pc.replace_substring(texts, "\n", " \n"), _EMPTY), " ")
         coded, at = lists.values.dictionary_encode(), lists.offsets.to_numpy()
         index = coded.indices.to_numpy()

@@ -260,6 +260,22 @@ def test_bpe_equals_the_library(docs, odd):
     assert all(r.decoded == (r.text or "") for r in back.collect())
 
 
+def test_bpe_of_very_long_texts_in_parts(docs, monkeypatch):
+    from plumbline.llm import pieces
+
+    path, library = _tiktoken()
+    text = " ".join(r.text or "" for r in docs.limit(60).collect()) + "  x\n\ny \t" + "z" * 3_000 + " end of it "
+    monkeypatch.setattr(pieces, "LONG", 1_000)
+    monkeypatch.setattr(bpe, "MANY", 700)
+    c = bpe.Codec(path, public_tokenizers.PATTERN)
+    want = library.encode_ordinary(text)
+    for t in (text, "a b " * 2_000, "no cut" + "é" * 5_000):
+        ids = library.encode_ordinary(t)
+        assert c.ids(pa.array([t])).to_pylist() == [ids] and "".join(pieces.parts(t, 1_000)) == t
+        assert c.digests(pa.array([t])) == ([len(ids)], [hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()], [hashlib.sha256(t.encode()).hexdigest()])
+    assert len(list(pieces.parts(text, 1_000))) > 20 and len(want) > 700
+
+
 def test_bpe_under_another_pattern():
     """A pattern whose matches run across blanks and line feeds, and ranks with tokens of several words."""
     import tiktoken
