@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import lower_bound
+from .relational import add, lower_bound, prefix
 
 
 def multimap(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -287,16 +288,45 @@ class Leaves:
         return inner.join(apart).select("sorted", "disjoint", "n")
 
 
+def _below(key: str, bounds: Iterable) -> Column:
+    """How many of the bounds are smaller than the key; null for a null key. A search tree, so that a row is compared with few of many bounds."""
+    b = sorted(bounds, key=lambda x: (x != x, x))  # NaN is the largest
+
+    def tree(low: int, high: int) -> Column:
+        m = (low + high) // 2
+        return F.lit(low).cast("long") if low == high else F.when(F.col(key) > b[m], tree(m + 1, high)).otherwise(tree(low, m))
+
+    return F.when(F.col(key).isNotNull(), tree(0, len(b)))
+
+
 def equi_depth(df: DataFrame, key: str, bounds: list[float]) -> DataFrame:
-    """partition, n: rows between learned bounds (ascending); the first partition is 0."""
-    part = sum((F.when(F.col(key) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    return df.groupBy(part.cast("long").alias("partition")).agg(F.count("*").alias("n"))
+    """partition, n: rows between learned bounds (ascending); the first partition is 0, that of null keys is null."""
+    return df.groupBy(_below(key, bounds).alias("partition")).agg(F.count("*").alias("n"))
+
 
+def depth_bounds(df: DataFrame, key: str, parts: int, accuracy: int = 10_000) -> list:
+    """Boundaries of partitions of equal depth: of n keys, nulls left out, the one at rank ceil(k n / parts) for each k below parts.
 
-def depth_bounds(df: DataFrame, key: str, parts: int, accuracy: int = 1_000_000) -> list[float]:
-    """Boundaries of partitions of about equal depth; parts - 1 numbers reach the driver."""
-    at = [k / parts for k in range(1, parts)]
-    return list(df.agg(F.percentile_approx(key, at, accuracy)).first()[0] or [])
+    They are exact at any accuracy. Cuts from a sketch enclose each rank, all keys between cuts are counted, and those between the
+    cuts around a rank (about n / accuracy for each, more if the sketch is off) are ranked. Counts between cuts and parts - 1 keys reach the driver.
+    """
+    keys = df.select(F.col(key).alias("__k")).where("__k is not null")
+    near = [min(max(k / parts + e / accuracy, 0.0), 1.0) for k in range(1, parts) for e in (-2, 2)]
+    cuts = near and set(keys.agg(F.percentile_approx("__k", near, accuracy)).first()[0] or [])
+    if not cuts:
+        return []
+    counts = dict(map(tuple, equi_depth(keys, "__k", cuts).collect()))
+    n, before, kept, slots, places = sum(counts.values()), 0, 0, [], []
+    ranks = [-(-k * n // parts) for k in range(1, parts)]
+    for slot, c in sorted(counts.items()):
+        if here := [r - before + kept for r in ranks if before < r <= before + c]:
+            slots.append(slot)
+            places += here
+            kept += c
+        before += c
+    some = keys.where(_below("__k", cuts).isin(slots)).groupBy("__k").agg(F.count("*").alias("__c"))
+    upto = prefix(some, [F.col("__k")], {"__n": (F.sum("__c"), F.sum("__c"))}, {"__n": (F.sum, add)})
+    return list(upto.agg(*[F.min(F.when(F.col("__n") >= r, F.col("__k"))).alias(f"b{k}") for k, r in enumerate(places)]).first())
 
 
 class RadixTrie:

@@ -1,12 +1,17 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import registry
 from plumbline.functions import z_decode, z_encode, z_text
 from plumbline.operators import indexes, mvcc, predicates, relational, resultdb, sorting, storage
 from plumbline.plans import joinorder
 from plumbline.plans.catalog import Prepared, explain, generated_code, show
 from plumbline.registry import _CARDS
 
+from .conftest import canon
+
 
 def test_join_order_goldens():
     for algo, pairs in (("dpsize", 73), ("dpsub", 42), ("dpccp", 20)):
@@ -193,6 +198,37 @@ def test_leaves_prune_and_hold_their_invariants(spark, tmp_path):
     assert broken.invariants().first() == (False, True, 2)
 
 
+def _at_ranks(values, parts):
+    v = sorted((x for x in values if x is not None), key=lambda x: (x != x, x))
+    return [v[-(-k * len(v) // parts) - 1] for k in range(1, parts)] if v else []
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("double", [k * 7919 % 60013 / 8 for k in range(60_000)]),
+    ("double", [5.0] * 3000 + [k / 3 for k in range(9)] + [None] * 1000),
+    ("double", [float("nan")] * 40 + [float("inf"), float("-inf"), 0.0, 0.25] * 10 + [None]),
+    ("long", [2**60 + k * 37 % 1009 for k in range(1009)]),
+    ("date", [datetime.date(1990, 1, 1) + datetime.timedelta(k * 37 % 1009) for k in range(1009)]),
+    ("double", [7.0]), ("double", [None, None]), ("double", []),
+])
+def test_depth_bounds_are_exact_where_the_sketch_is_not(spark, kind, values):
+    df = spark.createDataFrame([(v,) for v in values], f"k {kind}").repartition(5)
+    for parts, accuracy in ((4, 20), (7, 20), (4, 10_000), (1, 20)):
+        assert str(indexes.depth_bounds(df, "k", parts, accuracy)) == str(_at_ranks(values, parts))
+
+
+@pytest.mark.parametrize("name", ["equi_depth_counts", "equi_depth_from_sample"])
+def test_equi_depth_counts_null_keys_apart(spark, tmp_path, name):
+    import duckdb
+
+    some = [None if k % 5 == 0 else float("nan") if k % 7 == 0 else k * 7919 % 5003 * 100.0 for k in range(5000)]
+    for at, prices in (("odd", some), ("null", [None, None]), ("empty", [])):
+        spark.createDataFrame([(p,) for p in prices], "o_totalprice double").write.parquet(f"{tmp_path}/{at}/orders.parquet")
+        with duckdb.connect() as c:
+            c.execute(f"create view orders as from '{tmp_path}/{at}/orders.parquet/*.parquet'")
+            assert canon(registry.QUERIES[name](spark, f"{tmp_path}/{at}").toPandas()) == canon(c.sql(registry.ORACLE_SQL[name]).df())
+
+
 def test_tries_route_keys_that_fit(spark):
     df = spark.createDataFrame([(0,), (5,), (26,), (None,)], "k long")
     t = indexes.RadixTrie(3, 3)
