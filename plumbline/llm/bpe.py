@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import CACHES, bounded_batches, lean, trim
 from .pieces import USUAL, Words, flat, gather, plain, work
 
 #: Entries of the cache of token pairs, and slots of the one that arrays of pairs use.
@@ -21,6 +21,8 @@ PAIRS, SLOTS = 50_000, 1 << 19
 SHORT = 64
 #: Ids whose digits and bytes are worked out at a time, where a batch has more (a very long text).
 MANY = 2_000_000
+#: Bytes of text that digests() works on at a time, where texts are not longer themselves; temporary arrays take some 70 times as many.
+SLICE = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -378,7 +380,7 @@ class Codec:
     def digests(self, texts: pa.Array) -> tuple[list[int], list[str], list[str]]:
         """n_tokens, ids_sha256 and decoded_sha256 of each text."""
         count, told, decoded = [], [], []
-        for part in work(texts):
+        for part in work(texts, SLICE):
             ids, at = self.words.ids(part)
             count += np.diff(at).tolist()
             if len(ids) > MANY:
@@ -413,7 +415,7 @@ class Codec:
         return pa.ListArray.from_arrays(np.r_[0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))].astype(np.int32) if parts else np.zeros(1, np.int32), ids)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[tuple[str, str], Codec] = CACHES.setdefault("bpe", {})
 
 
 def codec(ranks_path: str, pattern: str) -> Codec:
@@ -437,10 +439,12 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text")
 
     @F.arrow_udf(", ".join(f"{k} {v}" for k, v in _DIGESTS.items()))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(ranks_path, pattern)
-        for texts in batches:
-            n, told, decoded = c.digests(texts)
-            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(decoded, pa.string())], list(_DIGESTS))
+        with lean("bpe"):
+            c = codec(ranks_path, pattern)
+            for texts in batches:
+                n, told, decoded = c.digests(texts)
+                trim()
+                yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(told, pa.string()), pa.array(decoded, pa.string())], list(_DIGESTS))
 
     out = bounded_batches(docs).withColumn("__bpe", run(F.col(text).cast("string")))
     return out.withColumns({c: F.col(f"__bpe.{c}") for c in _DIGESTS}).drop("__bpe")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
@@ -32,6 +36,37 @@ def bounded_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+#: Caches that tasks leave in a worker's process for later tasks of the same operator, by its name.
+CACHES: dict[str, dict] = {}
+
+
+@contextmanager
+def lean(operator: str = "") -> Iterator[None]:
+    """Around a task in a Python worker: caches of other operators go before it, and what it freed goes back to the system after it.
+
+    Workers live on from stage to stage, and an executor's memory is shared with all of them.
+    """
+    for name, cache in CACHES.items():
+        if name != operator:
+            cache.clear()
+    trim()
+    try:
+        yield
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(_LIBC, "malloc_trim", None)  # glibc only
+    if give_back is not None:
+        give_back(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where there is one machine, a local one if that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Table
-from .common import bounded_batches
+from .common import bounded_batches, lean
 from .pieces import flat, gather, work
 from .words import words
 
@@ -200,9 +200,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame
 
     @F.arrow_udf(", ".join(f"{k} {v}" for k, v in _RESULT.items()))
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            parts = [sent.value.scan(part) for part in work(texts)]
-            yield pa.concat_arrays(parts) if parts else sent.value.scan(pa.array([], pa.large_string()))
+        with lean():
+            for texts in batches:
+                parts = [sent.value.scan(part) for part in work(texts)]
+                yield pa.concat_arrays(parts) if parts else sent.value.scan(pa.array([], pa.large_string()))
 
     out = bounded_batches(docs).withColumn("__found", found(F.col("text").cast("string")))
     return out.withColumns({c: F.col(f"__found.{c}") for c in _RESULT}).drop("__found")

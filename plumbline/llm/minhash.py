@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialise, mix, seeds, small_or_shuffled
+from .common import bounded_batches, discard, lean, materialise, mix, seeds, small_or_shuffled
 from .graph import components
 from .words import packs, words
 
@@ -111,29 +111,31 @@ def _least_agreeing(percent: int) -> int:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
-            n, one, two, band, mark = [], [], [], [], []
-            for u in shingle_sets(part.column(1).to_pylist()):
-                n.append(len(u))
-                one.append(int(mix(u).sum(dtype=np.uint64).astype(np.int64)))
-                two.append(int(mix(u + _SEED[0]).sum(dtype=np.uint64).astype(np.int64)))
-                found = sketch(u) if len(u) else None
-                band.append(None if found is None else bands(found))
-                mark.append(None if found is None else np.concatenate([planes(found), parities(u)]))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (band, mark))],
-                ["doc_id", "n_shingles", "d1", "d2", "bands", "marks"],
-            )
+    with lean():
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                n, one, two, band, mark = [], [], [], [], []
+                for u in shingle_sets(part.column(1).to_pylist()):
+                    n.append(len(u))
+                    one.append(int(mix(u).sum(dtype=np.uint64).astype(np.int64)))
+                    two.append(int(mix(u + _SEED[0]).sum(dtype=np.uint64).astype(np.int64)))
+                    found = sketch(u) if len(u) else None
+                    band.append(None if found is None else bands(found))
+                    mark.append(None if found is None else np.concatenate([planes(found), parities(u)]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (band, mark))],
+                    ["doc_id", "n_shingles", "d1", "d2", "bands", "marks"],
+                )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            sets = [u.view(np.int64) for u in shingle_sets(part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+    with lean():
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                sets = [u.view(np.int64) for u in shingle_sets(part.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
 
 def _marked(classes: DataFrame, side: str) -> DataFrame:

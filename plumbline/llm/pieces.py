@@ -59,13 +59,13 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return data[np.repeat(start - upto[:-1], size) + np.arange(upto[-1])], upto
 
 
-def work(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of texts of about WORK_BYTES each, as large_string without nulls."""
+def work(texts: pa.Array, size: int = WORK_BYTES) -> Iterator[pa.Array]:
+    """Slices of texts of about size bytes each, as large_string without nulls."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     at = flat(texts)[1]
     i = 0
     while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(at, at[i] + WORK_BYTES)))
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size)))
         yield texts.slice(i, j - i)
         i = j
 

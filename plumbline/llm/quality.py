@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, materialise, mix
+from .common import bounded_batches, discard, lean, materialise, mix
 from .words import packs, words
 
 #: Each labeller votes bad above the first bound, good below the second, and abstains between and on texts of few words.
@@ -184,6 +184,10 @@ def fit(docs: DataFrame, sample_rows: int = 4_000) -> tuple[Scorer, LabelModel]:
     rows = rows.select("text", (F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(5)), F.lit(1 << 30)) < rate).alias("chosen"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with lean():
+            yield from counted(batches)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(3 ** len(LABELLERS), np.int64)
         power = 3 ** np.arange(len(LABELLERS))
         for batch in batches:
@@ -235,7 +239,8 @@ def classify(docs: DataFrame, scorer: Scorer | None = None, threshold: float = 0
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
-            yield pd.Series(sent.value.score([x if isinstance(x, str) else None for x in t]), dtype="float64")
+        with lean():
+            for t in texts:
+                yield pd.Series(sent.value.score([x if isinstance(x, str) else None for x in t]), dtype="float64")
 
     return docs.withColumn("score", score(F.col("text"))).withColumn("accepted", F.col("score") >= threshold)
